@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, pii, toxicity
+from . import bpe, fingerprint, langid, mixing, pii, toxicity
 from .common import held_out, table
 
 
@@ -37,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language_id": op2_language_id,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_mixing": _digest(lambda docs: mixing.mix(docs).drop("key")),
         "op8_pii": _digest(pii.digest_pii),
         "op9_fingerprints": _digest(fingerprint.fingerprints),
         "op10_toxicity": op10_toxicity,
