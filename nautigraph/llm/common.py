@@ -110,3 +110,12 @@ def splitmix(x: np.ndarray) -> np.ndarray:
 def unit(x: np.ndarray) -> np.ndarray:
     """uint64 hashes as doubles in (0, 1)."""
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+#: Rows of a side that is broadcast at most; such sides hold a few narrow columns, some tens of bytes a row.
+BROADCAST_ROWS = 1_000_000
+
+
+def join_counted(left: DataFrame, right: DataFrame, on, how: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """left join right, right being a written table of narrow rows: broadcast if it's counted to be small, else shuffled."""
+    return left.join(F.broadcast(right) if right.count() <= most else right.hint("merge"), on, how)
