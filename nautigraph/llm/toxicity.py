@@ -118,8 +118,10 @@ class Model:
         for r, s in enumerate(top[:MOST], 1):
             total += self.rate * s - math.log(self.factor * max(n, 1))
             if r == 1:
-                best = -math.log(-math.expm1(-math.exp(min(-total, 3.0)))) if total > -3 else 0.0
-                best = total if total > 30 else best
+                if total > 30:
+                    best = total
+                elif total > -3:
+                    best = -math.log(-math.expm1(-math.exp(-total)))
             elif total > r:
                 best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - math.log(MOST))
         return min(best, 60.0)
