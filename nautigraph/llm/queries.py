@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, langid, mixing, pii, toxicity, vafile, warc
+from . import bpe, extract, fingerprint, langid, mixing, pii, toxicity, vafile, warc
 from .common import held_out, table
 
 
@@ -37,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language_id": op2_language_id,
         "op3_warc": _digest(lambda pages: warc.archive_and_read(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "pages"),
+        "op4_html_text": _digest(extract.extract, "pages"),
         "op5_vector_top_k": _digest(vafile.top_k, "embeddings"),
         "op6_byte_bpe": op6_byte_bpe,
         "op7_mixing": _digest(lambda docs: mixing.mix(docs).drop("key")),
