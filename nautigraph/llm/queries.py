@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, extract, fingerprint, langid, mixing, pii, toxicity, vafile, warc
+from . import bpe, extract, fingerprint, langid, mixing, neardup, pii, toxicity, vafile, warc
 from .common import held_out, table
 
 
@@ -35,6 +35,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_duplicates": _digest(neardup.near_duplicates),
         "op2_language_id": op2_language_id,
         "op3_warc": _digest(lambda pages: warc.archive_and_read(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "pages"),
         "op4_html_text": _digest(extract.extract, "pages"),
