@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cut import cut
+
 
 def tile(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("int")
@@ -52,8 +54,8 @@ def nearest_k(points: DataFrame, nodes: DataFrame, k: int, key: str, size: float
             break
         kth = best.groupBy(key).agg(F.max("d2").alias("far"), F.count("*").alias("n"))
         sure = kth.where((F.col("n") == k) & (F.col("far") <= size * size)).select(key)
-        best = best.checkpoint()
-        sure = sure.checkpoint()
+        best = best.transform(cut)
+        sure = sure.transform(cut)
         done.append(best.join(sure, key, "left_semi"))
         open_ = open_.join(sure, key, "left_anti")
         if not open_.limit(1).count():

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cut import cut
+
 
 def _toward_least(links: DataFrame) -> DataFrame:
     """Every link's larger end goes to the least neighbour of its smaller end."""
@@ -22,14 +24,14 @@ def _flat(links: DataFrame) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node_id, comp: comp is the least node_id of the component; a node without edges is one of its own."""
-    links = edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct().checkpoint()
+    links = edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct().transform(cut)
     seen = None
     while True:
         state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if not state[0] or state == seen:
             break
         seen = state
-        links = _flat(_toward_least(links)).checkpoint()
+        links = _flat(_toward_least(links)).transform(cut)
     root = links.select(F.col("a").alias("node_id"), F.col("b").alias("comp"))
     return nodes.select("node_id").join(root, "node_id", "left").select("node_id", F.coalesce("comp", "node_id").alias("comp"))
 

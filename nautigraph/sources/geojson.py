@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import semantics as S
+from ..functions.cut import cut
 
 _FEATURES = "struct<features:array<struct<geometry:struct<type:string,coordinates:string>>>>"
 _POLYGON = "array<array<array<double>>>"
@@ -27,7 +28,7 @@ def land_rings(spark: SparkSession, path: str) -> DataFrame:
     # one ordered number per ring: a struct's order, not a row number over everything in one task
     order = F.struct("file", "feature", "poly", "ring")
     ranked = rings.withColumn("o", order).repartitionByRange("o").sortWithinPartitions("o")
-    ranked = ranked.withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id()).checkpoint()
+    ranked = ranked.withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id()).transform(cut)
     before, at = {}, 0
     for part, n in sorted(tuple(r) for r in ranked.groupBy("part").count().collect()):
         before[part], at = at, at + n
@@ -39,7 +40,8 @@ def land_rings(spark: SparkSession, path: str) -> DataFrame:
 
 def with_boxes(rings: DataFrame) -> DataFrame:
     """ring_id, pts with min_lon, min_lat, max_lon, max_lat and is_island (no longer than 3 degrees either way)."""
-    box = {f"{f}_{c}": getattr(F, f"array_{f}")(F.transform("pts", lambda p, c=c: p[c])) for f in ("min", "max") for c in ("lon", "lat")}
+    lons, lats = F.transform("pts", lambda p: p["lon"]), F.transform("pts", lambda p: p["lat"])
+    box = {"min_lon": F.array_min(lons), "min_lat": F.array_min(lats), "max_lon": F.array_max(lons), "max_lat": F.array_max(lats)}
     span = F.greatest(F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat"))
     return rings.withColumns(box).withColumn("is_island", span <= S.ISLAND_SPAN)
 
