@@ -67,18 +67,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def map_rows(df: DataFrame, schema: str, fn: Callable[[Iterator[tuple]], Iterable[tuple]]) -> DataFrame:
-    """mapInArrow with fn on an iterator of row tuples, yielding tuples; a few thousand rows are held at a time."""
+    """mapInArrow with fn on an iterator of row tuples, yielding tuples; a few hundred rows are held at a time."""
     target = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for b in batches:
-                yield from zip(*(c.to_pylist() for c in b.columns)) if b.num_columns else ()
+                for part in slices(b):
+                    yield from zip(*(c.to_pylist() for c in part.columns))
 
         buffer: list[tuple] = []
         for row in fn(rows()):
             buffer.append(row)
-            if len(buffer) >= 4096:
+            if len(buffer) >= 1024:
                 yield _batch(buffer, target)
                 buffer = []
         if buffer:
@@ -87,6 +88,12 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[[Iterator[tuple]], Iterabl
     return df.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in small pieces, so that only a few rows at a time become Python objects."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     cols = list(zip(*rows))
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)

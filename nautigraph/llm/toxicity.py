@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ PRIOR = 4.0
 DRIFT = 1.0
 PASSAGE = 2.0
 PREDICT = 0.7
+#: Log-odds that make no difference to a wider node's, and words whose scores a task holds.
+SAME, KNOWN = 0.05, 150_000
 #: Best segments that the calibration looks at.
 MOST = 8
 #: Least documents of a token or prefix that the model keeps; rarer ones rest on their prior.
@@ -80,27 +83,39 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
 
 @dataclass
 class Model:
-    log_odds: dict[str, float]
+    """Log-odds in sorted hash arrays, the extreme-value law and the logistic."""
+
+    keys: np.ndarray
+    log_odds: np.ndarray
     rate: float = 1.0  # l of the extreme-value law
     factor: float = 0.1  # K
     slope: float = 1.0
     intercept: float = -4.0
 
-    def token_score(self, word: str) -> float:
-        if (s := self.log_odds.get(word)) is None:
-            s = 0.0
-            for n in reversed(PREFIXES):
-                if n <= len(word) and (found := self.log_odds.get(word[:n] + "*")) is not None:
-                    s = found
-                    break
-        return s - DRIFT
+    def token_scores(self, words: list[str]) -> list[float]:
+        """Each word's log-odds, or those of its longest prefix that has any, less the drift."""
+        if not words or not len(self.keys):
+            return [-DRIFT] * len(words)
+        forms = [nodes(w)[::-1] for w in words]
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(g) for f in forms for g in f), np.uint64)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        values = np.where(self.keys[at] == hashes, self.log_odds[at], np.nan).tolist()
+        out, k = [], 0
+        for f in forms:
+            out.append(next((v for v in values[k : k + len(f)] if v == v), 0.0) - DRIFT)
+            k += len(f)
+        return out
 
     def passages(self, words: list[str], cache: dict[str, float]) -> list[tuple[int, int, float]]:
         """Maximal segments.  A word that comes again neither adds nor costs: counts are of documents, not of tokens."""
+        if new := [w for w in set(words) if w not in cache]:
+            if len(cache) > KNOWN:
+                cache.clear()
+                new = list(set(words))
+            cache.update(zip(new, self.token_scores(new)))
         scores, seen = [], set()
         for w in words:
-            if (s := cache.get(w)) is None:
-                s = cache[w] = self.token_score(w)
+            s = cache[w]
             if s > 0:
                 if w in seen:
                     s = 0.0
@@ -135,23 +150,41 @@ def best_of(passages: list[tuple[int, int, float]]) -> list[float]:
     return sorted((s for _, _, s in passages), reverse=True)[:MOST]
 
 
-def build(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> Model:
-    """Log-odds from (toxic, clean) document counts by node.
+def build(names: list[str], toxic: np.ndarray, clean: np.ndarray, all_toxic: int, all_clean: int) -> Model:
+    """Log-odds from document counts by node.
 
     A node's prior is the estimate from what its wider nodes count beyond the next narrower one, the widest
-    first: disjoint evidence, so that a stem and its only form don't count the same documents twice.
+    first: disjoint evidence, so that a stem and its only form don't count the same documents twice.  A node
+    that says what its own prefix says anyway is left out.
     """
-    base = (toxic + 0.5) / (toxic + clean + 1)
+    base = (all_toxic + 0.5) / (all_toxic + all_clean + 1)
     root = math.log(base / (1 - base))
-    out: dict[str, float] = {}
-    for node, own in counts.items():
-        chain = [c for g in nodes(node.rstrip("*")) if g.endswith("*") and len(g) <= len(node) and g != node and (c := counts.get(g))] + [own]
+    kept, odds = [], []
+    chain: list[tuple[str, int, int, float]] = []  # open prefixes: stem, counts, log-odds
+    for i in sorted(range(len(names)), key=lambda i: (names[i].rstrip("*"), not names[i].endswith("*"))):
+        name, stem = names[i], names[i].rstrip("*")
+        while chain and not stem.startswith(chain[-1][0]):
+            chain.pop()
+        t_own, c_own = int(toxic[i]), int(clean[i])
+        if t_own + c_own < KEEP:
+            continue
         p = base
-        for (t, c), (t_in, c_in) in zip(chain, [*chain[1:], (0, 0)]):
+        counts = [(t, c) for _, t, c, _ in chain] + [(t_own, c_own)]
+        for (t, c), (t_in, c_in) in zip(counts, [*counts[1:], (0, 0)]):
             t, c = max(t - t_in, 0), max(c - c_in, 0)
             p = (t + PRIOR * p) / (t + c + PRIOR)
-        out[node] = math.log(p / (1 - p)) - root
-    return Model(out)
+        s = math.log(p / (1 - p)) - root
+        if abs(s - (chain[-1][3] if chain else 0.0)) >= SAME:
+            kept.append(xxhash.xxh3_64_intdigest(name))
+            odds.append(s)
+            said = s
+        else:
+            said = chain[-1][3] if chain else 0.0
+        if name.endswith("*"):
+            chain.append((stem, t_own, c_own, said))
+    keys = np.array(kept, np.uint64)
+    order = np.argsort(keys)
+    return Model(keys[order], np.array(odds, np.float32)[order])
 
 
 def fit_scores(model: Model, rows: list[tuple[int, int, list[float]]]) -> Model:
@@ -207,26 +240,34 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Mode
     sample = labelled(docs, labels, limit).select("toxic", F.pmod(F.xxhash64("text"), F.lit(2)).alias("half"), "text")
 
     def count(rows: Iterator[tuple]) -> Iterator[tuple]:
-        held: dict[str, list[int]] = {}
+        held: dict[str, int] = {}  # four counts of 16 bits each
+        n = 0
         for toxic, half, text in rows:
+            one = 1 << 16 * (2 * half + (0 if toxic else 1))
             for g in {g for w in set(tokens(text)) for g in nodes(w)}:
-                held.setdefault(g, [0, 0, 0, 0])[2 * half + (0 if toxic else 1)] += 1
-            if len(held) > 500_000:
-                yield from ((g, *c) for g, c in held.items())
-                held = {}
-        yield from ((g, *c) for g, c in held.items())
+                held[g] = held.get(g, 0) + one
+            n += 1
+            if len(held) > 200_000 or n >= 60_000:
+                yield from counted(held)
+                held, n = {}, 0
+        yield from counted(held)
+
+    def counted(held: dict[str, int]) -> Iterator[tuple]:
+        for g, c in held.items():
+            yield g, c & 0xFFFF, c >> 16 & 0xFFFF, c >> 32 & 0xFFFF, c >> 48
 
     sizes = {(r["half"], r["toxic"]): r["count"] for r in sample.groupBy("half", "toxic").count().collect()}
-    names = ["t0", "c0", "t1", "c1"]
-    counted = map_rows(sample, "node string, " + ", ".join(f"{c} long" for c in names), count)
-    counted = counted.groupBy("node").agg(*[F.sum(c).alias(c) for c in names]).where(f"{' + '.join(names)} >= {KEEP}")
-    got = counted.toArrow()
-    node, *cols = (got.column(c).to_pylist() for c in ["node", *names])
-    every = {g: (t0 + t1, c0 + c1) for g, t0, c0, t1, c1 in zip(node, *cols)}
-    halves = []
-    for h in (0, 1):  # the model for half h comes from the other half
-        t, c = cols[2 - 2 * h], cols[3 - 2 * h]
-        halves.append(build({g: (x, y) for g, x, y in zip(node, t, c) if x + y >= KEEP}, sizes.get((1 - h, 1), 0), sizes.get((1 - h, 0), 0)))
+    columns = ["t0", "c0", "t1", "c1"]
+    sums = map_rows(sample, "node string, " + ", ".join(f"{c} int" for c in columns), count)
+    sums = sums.groupBy("node").agg(*[F.sum(c).cast("int").alias(c) for c in columns]).where(f"{' + '.join(columns)} >= {KEEP}")
+    got = sums.toArrow()
+    names = got.column("node").to_pylist()
+    t0, c0, t1, c1 = (got.column(c).to_numpy() for c in columns)
+    total = lambda h, toxic: sizes.get((h, toxic), 0)
+    # the model for one half comes from the other
+    halves = [build(names, t1, c1, total(1, 1), total(1, 0)), build(names, t0, c0, total(0, 1), total(0, 0))]
+    model = build(names, t0 + t1, c0 + c1, total(0, 1) + total(1, 1), total(0, 0) + total(1, 0))
+    del names, got
     shared = sample.sparkSession.sparkContext.broadcast(halves)
 
     def best(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -236,7 +277,6 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Mode
             yield toxic, len(words), best_of(shared.value[half].passages(words, caches[half]))
 
     rows = [tuple(r) for r in map_rows(sample, "toxic int, n int, top array<double>", best).collect()]
-    model = build(every, sizes.get((0, 1), 0) + sizes.get((1, 1), 0), sizes.get((0, 0), 0) + sizes.get((1, 0), 0))
     return fit_scores(model, rows)
 
 
@@ -254,8 +294,6 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         m, cache = shared.value, {}
         for doc_id, text in rows:
-            if len(cache) > 500_000:
-                cache.clear()
             words = tokens(text)
             found = m.passages(words, cache)
             top = best_of(found)
