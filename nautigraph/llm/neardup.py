@@ -26,20 +26,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow_schema, join_counted, map_rows, splitmix, unit, written
+from .common import _arrow_schema, join_counted, map_rows, slices, splitmix, unit, written
 from .components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: At a similarity of 0.8 a pair shares no band with a chance of 1.5e-5, at 0.85 of 8e-8.
 BANDS, ROWS = 28, 5
-#: Shingles that are sketched together.
-TOGETHER = 150_000
+#: Shingles, and texts, that are sketched together.
+TOGETHER, TEXTS = 150_000, 256
 _WORD = re.compile(r"\w+")
 _SALT = {name: np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64) for k, name in enumerate(("wait", "height", "coordinate", "band"))}
 
 
-@lru_cache(500_000)
+@lru_cache(100_000)
 def _word_hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
@@ -137,18 +137,18 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weight: str
         seen: set[int] = set()
         held: list[tuple[int, np.ndarray, np.ndarray]] = []
         size = 0
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b)):
             for node, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if node in seen:
                     continue  # copies within a task; the rest go below
-                if len(seen) >= 500_000:
+                if len(seen) >= 200_000:
                     seen.clear()
                 seen.add(node)
                 e, n = shingles(text, shingle)
                 if len(e):
                     held.append((node, e, n))
                     size += len(e)
-                if size >= TOGETHER:
+                if size >= TOGETHER or len(held) >= TEXTS:
                     yield sketch(held)
                     held, size = [], 0
         if held:
