@@ -12,7 +12,7 @@ def checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
-    where = sc.getConf().get("spark.checkpoint.dir")
+    where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")

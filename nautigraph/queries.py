@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -432,6 +433,57 @@ def parse_requests(spark, sf_dir):
     return requests.multi(bodies).select("req_id", F.size("ports").alias("n_ports"), F.col("penalty").cast("double").alias("penalty"), F.col("ports")[0]["lon"].alias("first_lon"), "error")
 
 
+# ---- lines ----
+
+
+def _calls(spark, sf_dir) -> DataFrame:
+    """conv_id, line: the points of an itinerary in order."""
+    k = F.col("conv_id") * 31 + F.col("turn")
+    p = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", X.lon(k).alias("lon"), X.lat(k).alias("lat")))).alias("line"))
+    return p
+
+
+def _redrawn(lines: DataFrame, land: landindex.LandIndex, draw) -> DataFrame:
+    """conv_id, seq, lon, lat of what `draw` makes of each line."""
+    shared = lines.sparkSession.sparkContext.broadcast(land)
+
+    def run(batches):
+        for b in batches:
+            for conv, line in zip(b["conv_id"], b["line"]):
+                made = draw([(p["lon"], p["lat"]) for p in line], shared.value)
+                yield pd.DataFrame({"conv_id": conv, "seq": range(len(made)), "lon": [p[0] for p in made], "lat": [p[1] for p in made]})
+
+    return lines.mapInPandas(run, "conv_id long, seq int, lon double, lat double")
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, {X.sql_lon('conv_id * 31 + turn')} AS x, {X.sql_lat('conv_id * 31 + turn')} AS y FROM conversations),
+n AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+c AS (SELECT conv_id, i * 2 AS o, x * 0.75::DOUBLE + x2 * 0.25::DOUBLE AS lon, y * 0.75::DOUBLE + y2 * 0.25::DOUBLE AS lat FROM n WHERE n > 2 AND i < n UNION ALL
+SELECT conv_id, i * 2 + 1, x * 0.25::DOUBLE + x2 * 0.75::DOUBLE, y * 0.25::DOUBLE + y2 * 0.75::DOUBLE FROM n WHERE n > 2 AND i < n UNION ALL
+SELECT conv_id, CASE WHEN i = 1 THEN 0 ELSE 100000 END + i, x, y FROM n WHERE i = 1 OR i = n OR n < 3)
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY o) - 1 AS INTEGER) AS seq, round(lon, 6) AS lon, round(lat, 6) AS lat FROM c""")
+def smooth_open_water(spark, sf_dir):
+    """One round of corner cutting with no land about."""
+    none = landindex.build_index(X.rings(spark, sf_dir).limit(0), _runs(spark, sf_dir).limit(0), X.CELL)
+    made = _redrawn(_calls(spark, sf_dir), none, lambda line, land: routing.smooth(line, 1, land))
+    return made.select("conv_id", "seq", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+@query()
+def smooth_coast(spark, sf_dir):
+    return _redrawn(_calls(spark, sf_dir), _land(spark, sf_dir), lambda line, land: routing.smooth(line, 2, land))
+
+
+@query()
+def line_of_sight(spark, sf_dir):
+    return _redrawn(_calls(spark, sf_dir), _land(spark, sf_dir), routing.by_sight)
+
+
+@query()
+def simplify_lines(spark, sf_dir):
+    return _redrawn(_calls(spark, sf_dir), _land(spark, sf_dir), lambda line, land: routing.simplify(routing.unwrap(line), 5.0))
+
+
 # ---- the whole engine over the derived world ----
 
 
