@@ -8,9 +8,9 @@ similarity.  A text needs about k (ln k + 2) darts, however long it is: later ar
 
 Coordinates make bands, and texts that share a band's values share a bucket.  Pairs within buckets are not
 spelled out.  Each bucket's most connected text is its centre; every other text is compared with it exactly.
-Components of the links found come next.  What remains are pairs in a bucket of texts in different
-components; the triangle inequality of the Jaccard distance, with the distances to the centre, rules most
-out, and the rest is compared exactly too.  So within the candidates of the bands no link is lost.
+Components of the links found come next.  What remains are a centre's members outside its component: they
+are held against all its members in blocks, exactly too, through an index of how sets differ.  So within the
+candidates of the bands no link is lost, and no step makes more rows than there are texts in buckets.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -211,24 +212,89 @@ def links(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weight: str = "
     centre = bucket.groupBy("band").agg(F.max(F.struct("company", "node")).alias("c")).select("band", F.col("c.node").alias("centre"))
     bucket = written(bucket.join(centre, "band").select("band", "node", "centre"), "near-centres")
     pairs = written(bucket.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
-    first = written(compared(pairs, _texts_of(noded, pairs), shingle), "near-first")
+    texts = _texts_of(noded, pairs)
+    first = written(compared(pairs, texts, shingle), "near-first")
     good = first.where(F.col("similarity") >= least)
     root = written(components(good.select("a", "b")), "near-roots")
+    second = _among_members(first, root, texts, least, shingle)
+    return written(good.unionByName(second), "near-links")
+
+
+#: Texts, and characters of text, in a block of a centre's members.
+MEMBERS, CHARACTERS = 1024, 4_000_000
+
+
+def _among_members(first: DataFrame, root: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
+    """a, b, similarity: links between members of a centre (a, b of `first`) that its component doesn't hold.
+
+    A centre's members outside its component are held against all its members, block by block; a block pair is
+    one unit of work of bounded size, and yields no more links than join the components in it.
+    """
 
-    # texts of another component than their bucket's centre, with all others there that the distances allow
     def rooted(df: DataFrame, column: str, name: str) -> DataFrame:
         return df.join(root.select(F.col("node").alias(column), F.col("root").alias("r_")), column, "left").withColumn(name, F.coalesce("r_", column)).drop("r_")
 
-    near = bucket.where("node <> centre").join(first.select(F.col("a").alias("centre"), F.col("b").alias("node"), "similarity"), ["centre", "node"])
-    near = written(rooted(rooted(near, "node", "own"), "centre", "main").select("band", "node", "similarity", "own", "main"), "near-rooted")
-    other = near.where("own <> main").select("band", F.col("node").alias("x"), F.col("similarity").alias("sx"), F.col("own").alias("ox"))
-    every = near.select("band", F.col("node").alias("y"), F.col("similarity").alias("sy"), F.col("own").alias("oy"))
-    apart = F.abs(F.col("sx") - F.col("sy")) <= 1 - least + 1e-9
-    left = other.join(every, "band").where((F.col("ox") != F.col("oy")) & apart).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    done = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    left = written(left.join(done, ["a", "b"], "left_anti"), "near-left")
-    second = compared(left, _texts_of(noded, left), shingle).where(F.col("similarity") >= least)
-    return written(good.unionByName(second), "near-links")
+    member = rooted(rooted(first.select(F.col("a").alias("centre"), F.col("b").alias("node"), "similarity"), "node", "own"), "centre", "main")
+    member = written(member.join(texts.select("node", F.length("text").alias("n")), "node"), "near-members")
+    out = F.col("own") != F.col("main")
+    blocks = lambda rows, chars: F.greatest(F.ceil(rows / MEMBERS), F.ceil(chars / CHARACTERS), F.lit(1)).cast("int")
+    size = member.groupBy("centre").agg(F.count("*").alias("m"), F.sum("n").alias("mc"), F.count_if(out).alias("o"), F.sum(F.when(out, F.col("n"))).alias("oc")).where("o > 0 and m > 1")
+    size = size.select("centre", blocks(F.col("m"), F.col("mc")).alias("ys"), blocks(F.col("o"), F.col("oc")).alias("xs"))
+    sized = member.join(size, "centre")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    columns = ["centre", "node", "similarity", "own"]
+    outer = sized.where(out).select(*columns, F.lit(True).alias("outer"), mine("xs").alias("x"), "ys").select(*columns, "outer", "x", every("ys").alias("y"))
+    whole = sized.select(*columns, F.lit(False).alias("outer"), "xs", mine("ys").alias("y")).select(*columns, "outer", every("xs").alias("x"), "y")
+    work = outer.unionByName(whole).join(texts, "node")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_block_links(group, least, shingle), columns=["a", "b", "similarity"])
+
+    return work.groupBy("centre", "x", "y").applyInPandas(run, "a long, b long, similarity double")
+
+
+def _block_links(group: pd.DataFrame, least: float, shingle: int) -> list[tuple[int, int, float]]:
+    """Links of outer texts with all texts of a block pair, but none within what is joined already.
+
+    Sets are held by how they differ from one of them, the pivot: x and y differ by what lies in just one of
+    their differences, so an index of the (short) differences gives every similarity exactly.
+    """
+    inner = group[~group["outer"]].sort_values(["similarity", "node"], ascending=[False, True])
+    outer = group[group["outer"]].sort_values("node")
+    if not len(inner) or not len(outer):
+        return []
+    pivot = shingles(inner["text"].iloc[0], shingle)[0]
+    own = [(len(s), np.setxor1d(s, pivot, assume_unique=True)) for s in (shingles(t, shingle)[0] for t in inner["text"])]
+    sizes, apart = np.array([n for n, _ in own]), np.array([len(d) for _, d in own])
+    items = np.concatenate([d for _, d in own])
+    holder = np.repeat(np.arange(len(own)), apart)
+    order = np.argsort(items, kind="stable")
+    items, holder = items[order], holder[order]
+    nodes, roots = inner["node"].tolist(), inner["own"].tolist()
+    parent: dict[int, int] = {}
+
+    def find(r: int) -> int:
+        while parent.get(r, r) != r:
+            r = parent[r]
+        return r
+
+    out = []
+    for node, root, text in zip(outer["node"], outer["own"], outer["text"]):
+        s = shingles(text, shingle)[0]
+        d = np.setxor1d(s, pivot, assume_unique=True)
+        low, high = np.searchsorted(items, d, "left"), np.searchsorted(items, d, "right")
+        spans = [holder[a:b] for a, b in zip(low.tolist(), high.tolist()) if b > a]
+        common = np.bincount(np.concatenate(spans), minlength=len(own)) if spans else np.zeros(len(own), int)
+        differ = len(d) + apart - 2 * common
+        both = (len(s) + sizes - differ) / 2
+        alike = both / np.maximum(len(s) + sizes - both, 1)
+        for k in np.flatnonzero(alike >= least):
+            x, y = find(root), find(roots[k])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((max(node, nodes[k]), min(node, nodes[k]), float(alike[k])))
+    return out
 
 
 def classes(docs: DataFrame, **options) -> DataFrame:
