@@ -23,8 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local master may go without the setting; then a folder under /tmp/checkpoints serves.
     """
-    conf = spark.sparkContext.getConf()
-    where = conf.get("spark.checkpoint.dir")
+    where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
@@ -38,9 +37,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted when the driver's Python ends."""
     path = f"{shared_dir(spark)}/nautigraph-{name}-{uuid.uuid4().hex}"
     atexit.register(remove, spark, path)
+    _SCRATCH.append(path)
     return path
 
 
+_SCRATCH: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every scratch path of this process now: for long sessions, once results are written."""
+    while _SCRATCH:
+        remove(spark, _SCRATCH.pop())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch path; at exit the JVM may already be gone, and then there is nothing left to do."""
     try:
