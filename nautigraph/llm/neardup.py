@@ -308,7 +308,8 @@ def classes(docs: DataFrame, **options) -> DataFrame:
     rows = written(_noded(docs).drop("text"), "near-rows")
     root = components(links(docs, **options).select("a", "b"))
     rooted = rows.join(root, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    # a table of its own, so that the join deals out both sides and can split a large class
+    least = written(rooted.groupBy("root").agg(F.min("doc_id").alias("class_id")), "near-least")
     return rooted.join(least, "root").select("doc_id", "node", "class_id", "root")
 
 
