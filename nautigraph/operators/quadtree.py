@@ -83,7 +83,7 @@ def coarsen_level(leaves: DataFrame, depth: int) -> DataFrame:
     water = leaves.where((F.col("type") == "water") & (F.col("depth") == depth))
     parent = [F.floor(F.col(c) / 2).cast("int").alias(f"p{c[1]}") for c in ("ix", "iy")]
     kids = water.select("depth", "ix", "iy", *parent)
-    full = kids.groupBy("px", "py").count().where("count = 4").select("px", "py")
+    full = _water_quads(leaves, depth)
     kids = kids.join(full, ["px", "py"])
     land = leaves.where("type = 'land'").select("depth", "ix", "iy")
     # land of the same depth or deeper, by its ancestor of this depth; the tenth is tested on its own box
@@ -108,10 +108,18 @@ def coarsen_level(leaves: DataFrame, depth: int) -> DataFrame:
 def coarsen(leaves: DataFrame, deepest: int = S.DEFAULT_DEPTH) -> DataFrame:
     """One sweep from the deepest level up: land never changes, so a second one would find nothing."""
     for depth in range(deepest, 0, -1):
-        leaves = coarsen_level(leaves, depth).transform(cut)
+        if _water_quads(leaves, depth).limit(1).count():
+            leaves = coarsen_level(leaves, depth).transform(cut)
     return leaves
 
 
+def _water_quads(leaves: DataFrame, depth: int) -> DataFrame:
+    """px, py: parents of four water leaves of a depth."""
+    water = leaves.where((F.col("type") == "water") & (F.col("depth") == depth))
+    px, py = (F.floor(F.col(c) / 2).cast("int").alias(n) for c, n in (("ix", "px"), ("iy", "py")))
+    return water.groupBy(px, py).count().where("count = 4").select("px", "py")
+
+
 def leaf_counts(leaves: DataFrame) -> DataFrame:
     return leaves.groupBy("type").agg(F.count("*").alias("n"))
 
