@@ -48,6 +48,44 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: All pairs of texts by their sets of five-word shingles; what links connect is a class.
+OP1 = r"""
+WITH RECURSIVE d AS (
+  SELECT t, row_number() OVER (ORDER BY t) AS id FROM (SELECT DISTINCT coalesce(text, '') AS t FROM documents)
+), w AS (
+  SELECT id, regexp_extract_all(lower(t), '[\p{L}\p{N}_]+') AS ws FROM d
+), s AS (
+  SELECT DISTINCT id, array_to_string(ws[i:i + 4], ' ') AS g
+  FROM (SELECT id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+), n AS (
+  SELECT id, count(*) AS n FROM s GROUP BY id
+), links AS (
+  SELECT p.a, p.b FROM (SELECT a.id AS a, b.id AS b, count(*) AS both FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2) p
+  JOIN n x ON x.id = p.a JOIN n y ON y.id = p.b WHERE p.both::DOUBLE / (x.n + y.n - p.both) >= 0.8
+), reach AS (
+  SELECT id, id AS other FROM d UNION SELECT r.id, e.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) e ON e.a = r.other
+), class AS (
+  SELECT id, min(other) AS root FROM reach GROUP BY id
+), r AS (
+  SELECT doc_id, root FROM documents JOIN d ON d.t = coalesce(text, '') JOIN class USING (id)
+)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY root) AS class_id FROM r
+"""
+
+OP3 = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(h, 5 * (k // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM m
+"""
+
 OP5 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64.0::DOUBLE * x::DOUBLE) AS BIGINT)) AS e
@@ -66,4 +104,4 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_vector_top_k": OP5}
+    return {"op1_near_duplicates": OP1, "op3_warc": OP3, "op5_vector_top_k": OP5}

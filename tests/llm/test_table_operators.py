@@ -322,3 +322,18 @@ def test_registered_queries(spark):
 
     assert [n.split("_")[0] for n in Q.queries()] == [f"op{n}" for n in range(1, 11)]
     assert set(Q.oracle_sql()) <= set(Q.queries())
+
+
+@pytest.mark.parametrize("name", ["op1_near_duplicates", "op3_warc", "op5_vector_top_k"])
+def test_query_equals_sql(spark, sf, name):
+    import duckdb
+
+    from nautigraph.llm import queries as Q
+
+    duck = duckdb.connect()
+    for t in ("documents", "pages", "embeddings"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got, want = Q.queries()[name](spark, sf).toPandas(), duck.execute(Q.oracle_sql()[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = lambda df: sorted(map(str, df[sorted(df.columns)].astype(object).where(df[sorted(df.columns)].notna(), None).values.tolist()))
+    assert rows(got) == rows(want)
