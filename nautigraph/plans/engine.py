@@ -42,7 +42,10 @@ class Engine:
     def generate(cls, rings: DataFrame, depth: int = S.DEFAULT_DEPTH, cell: float = S.RASTER_CELL, canals: bool = True, coarsen: bool = True, semantics: S.Semantics = S.DEFAULT) -> Engine:
         """Rings (ring_id, pts, boxes) to a graph: raster, quadtree, coarsening, edges."""
         spark = rings.sparkSession
-        islands = rings if semantics.holes_are_islands else rings.withColumn("is_island", F.col("is_island") & ~F.coalesce(F.col("is_hole"), F.lit(False)))
+        if semantics.holes_are_islands or "is_hole" not in rings.columns:
+            islands = rings
+        else:
+            islands = rings.withColumn("is_island", F.col("is_island") & ~F.col("is_hole"))
         runs = L.raster_runs(L.ring_edges(rings), cell).transform(cut)
         land = build_index(islands, runs, cell)
         leaves = Q.build(spark, land, depth)

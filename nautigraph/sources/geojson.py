@@ -15,7 +15,7 @@ _POLYGON = "array<array<array<double>>>"
 
 
 def land_rings(spark: SparkSession, path: str) -> DataFrame:
-    """ring_id, pts, bounding box and is_island of every ring of three points or more.
+    """ring_id, pts, is_hole, bounding box and is_island of every ring of three points or more.
 
     Polygon and MultiPolygon features in degrees; ids count rings in the order of the file, by feature, polygon and ring.
     Files are read whole: a FeatureCollection is one document.
@@ -34,7 +34,7 @@ def land_rings(spark: SparkSession, path: str) -> DataFrame:
         before[part], at = at, at + n
     offsets = spark.createDataFrame(list(before.items()) or [(0, 0)], "part int, before long")
     within = F.col("nth") - (F.col("part").cast("long") * F.lit(1 << 33))
-    numbered = ranked.join(F.broadcast(offsets), "part").select((F.col("before") + within).alias("ring_id"), F.transform("pts", lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))).alias("pts"))
+    numbered = ranked.join(F.broadcast(offsets), "part").select((F.col("before") + within).alias("ring_id"), F.transform("pts", lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat"))).alias("pts"), (F.col("ring") > 0).alias("is_hole"))
     return with_boxes(numbered)
 
 

@@ -207,6 +207,26 @@ def test_stream_of_requests(spark, world, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
+def test_flags_mend_odd_rules(spark, tmp_path):
+    doc = {"features": [{"geometry": {"type": "Polygon", "coordinates": [LARGE, [[52, 2], [54, 2], [54, 4], [52, 4], [52, 2]]]}}]}
+    (tmp_path / "l.json").write_text(json.dumps(doc))
+    rings = geojson.land_rings(spark, str(tmp_path / "l.json")).cache()
+    assert [r["is_hole"] for r in rings.orderBy("ring_id").collect()] == [False, True]
+    literal = Engine.generate(rings, 3, 0.5, canals=False, coarsen=False).land
+    mended = Engine.generate(rings, 3, 0.5, canals=False, coarsen=False, semantics=S.Semantics(holes_are_islands=False)).land
+    assert literal.is_land_precise([53.0], [3.0])[0] and not mended.is_land_precise([53.0], [3.0])[0]
+
+
+def test_command_line(spark, tmp_path):
+    from nautigraph.__main__ import main
+
+    (tmp_path / "l.json").write_text(json.dumps({"features": [{"geometry": {"type": "Polygon", "coordinates": [LARGE]}}]}))
+    assert main([]) == 2 and main(["generate", str(tmp_path / "l.json"), str(tmp_path / "g"), "3"]) == 0
+    (tmp_path / "r.json").write_text(json.dumps({"req_id": 1, "body": json.dumps({"ports": [[40, 3], [62, 3]]})}))
+    assert main(["routes", str(tmp_path / "g"), str(tmp_path / "l.json"), str(tmp_path / "r.json"), str(tmp_path / "a")]) == 0
+    assert json.loads(spark.read.parquet(str(tmp_path / "a")).first()["value"])["type"] == "FeatureCollection"
+
+
 def test_no_land_gives_one_cell(spark, world):
     leaves = Q.build(spark, world()[1], 3)
     assert [tuple(r) for r in leaves.collect()] == [(0, 0, 0, "water")]
