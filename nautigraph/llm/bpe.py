@@ -46,8 +46,8 @@ class TreeBpe:
         self._piece = self._enc._core_bpe.encode_single_piece
         self._bytes = {i: t for t, i in ranks.items()}
         self._leaf = max(2, leaf)
-        self._class = lru_cache(65536)(_char_class)
-        self._pair = lru_cache(262144)(self._pair_holds)
+        self._class = lru_cache(8192)(_char_class)
+        self._pair = lru_cache(16384)(self._pair_holds)
 
     def encode(self, text: str) -> list[int]:
         return self._node(text, 0, len(text)) if text else []

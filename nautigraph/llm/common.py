@@ -63,8 +63,22 @@ def remove(spark: SparkSession, path: str) -> None:
             raise
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Send documents to Python a thousand at a time, unless the session asks for a number of its own.
+
+    Spark's default of 10,000 rows is meant for narrow rows; of whole documents that many fill the memory of
+    executors and their Python workers with copies.
+    """
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
+
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives the loss of executors."""
+    modest_batches(df.sparkSession)
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -77,6 +91,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def map_rows(df: DataFrame, schema: str, fn: Callable[[Iterator[tuple]], Iterable[tuple]]) -> DataFrame:
     """mapInArrow with fn on an iterator of row tuples, yielding tuples; a few hundred rows are held at a time."""
+    modest_batches(df.sparkSession)
     target = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,6 +108,7 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[[Iterator[tuple]], Iterabl
                 buffer = []
         if buffer:
             yield _batch(buffer, target)
+        pa.default_memory_pool().release_unused()  # workers live on; the next task may be of another kind
 
     return df.mapInArrow(run, schema)
 

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, modest_batches
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 16
@@ -379,6 +379,7 @@ def mask_documents(docs: DataFrame) -> DataFrame:
     Null texts stay null.  No row is added or dropped.
     """
     key = trained().tobytes()
+    modest_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def mask(texts):
