@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_rows
+from .common import held_out, map_rows, modest_batches
 
 #: Most labelled documents that the classifier is fitted on: those of least xxhash64(doc_id).
 MAX_LABELLED = 20_000
@@ -35,7 +35,7 @@ DRIFT = 1.0
 PASSAGE = 2.0
 PREDICT = 0.7
 #: Log-odds that make no difference to a wider node's, and words whose scores a task holds.
-SAME, KNOWN = 0.05, 150_000
+SAME, KNOWN = 0.05, 100_000
 #: Best segments that the calibration looks at.
 MOST = 8
 #: Least documents of a token or prefix that the model keeps; rarer ones rest on their prior.
@@ -89,7 +89,7 @@ class Model:
     log_odds: np.ndarray
     rate: float = 1.0  # l of the extreme-value law
     factor: float = 0.1  # K
-    slope: float = 1.0
+    slopes: tuple[float, float] = (0.5, 0.5)
     intercept: float = -4.0
 
     def token_scores(self, words: list[str]) -> list[float]:
@@ -123,26 +123,28 @@ class Model:
             scores.append(s)
         return maximal_segments(scores)
 
-    def surprise(self, top: list[float], n: int) -> float:
-        """-log of the chance that n clean tokens hold segments like the best r, for the r that makes it largest.
+    def surprise(self, top: list[float], n: int) -> tuple[float, float]:
+        """-log of the chances that n clean tokens hold a segment like the best, and segments like the best r.
 
-        For r = 1 this is the extreme-value law, beyond it the tail of the sum of the r best normalised scores,
-        e^-t t^(r-1) / (r! (r-1)!).
+        The first is the extreme-value law; the second is the tail of the sum of the r best normalised scores,
+        e^-t t^(r-1) / (r! (r-1)!), for the r that makes it largest.
         """
-        best = total = 0.0
+        best = single = total = 0.0
         for r, s in enumerate(top[:MOST], 1):
             total += self.rate * s - math.log(self.factor * max(n, 1))
             if r == 1:
                 if total > 30:
-                    best = total
+                    single = total
                 elif total > -3:
-                    best = -math.log(-math.expm1(-math.exp(-total)))
+                    single = -math.log(-math.expm1(-math.exp(-total)))
+                best = single
             elif total > r:
                 best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - math.log(MOST))
-        return min(best, 60.0)
+        return min(single, 60.0), min(best, 60.0)
 
     def probability(self, top: list[float], n: int) -> float:
-        z = self.intercept + self.slope * self.surprise(top, n)
+        single, several = self.surprise(top, n)
+        z = self.intercept + self.slopes[0] * single + self.slopes[1] * several
         return 1 / (1 + math.exp(-max(min(z, 700), -700)))
 
 
@@ -203,21 +205,20 @@ def fit_scores(model: Model, rows: list[tuple[int, int, list[float]]]) -> Model:
 
         model.rate = float(min(np.geomspace(0.1, 5, 80), key=loss))
         model.factor = float(m / (n * np.exp(-model.rate * s)).sum())
-    x = np.array([model.surprise(top, n) for _, n, top in rows])
+    x = np.array([(1.0, *model.surprise(top, n)) for _, n, top in rows]).reshape(-1, 3)
     y = np.array([label for label, _, _ in rows], float)
-    if len(y) and 0 < y.sum() < len(y):
-        a, b = -4.0, 1.0
-        for _ in range(200):  # Newton steps with a small ridge, so that separable rows keep a finite slope
-            p = 1 / (1 + np.exp(-np.clip(a + b * x, -50, 50)))
-            g = np.array([(y - p).sum(), ((y - p) * x).sum() - 0.05 * b])
-            v = p * (1 - p) + 1e-9
-            h = np.array([[v.sum() + 1e-6, (v * x).sum()], [(v * x).sum(), (v * x * x).sum() + 0.05]])
-            d = np.linalg.solve(h, g)
-            d *= min(1.0, 1.0 / max(abs(d)))
-            a, b = a + d[0], max(b + d[1], 1e-3)
-            if abs(d).max() < 1e-6:
+    if 0 < y.sum() < len(y):
+        w = np.array([-4.0, 0.5, 0.5])
+        ridge = np.array([1e-6, 0.05, 0.05])  # so that separable rows keep finite slopes
+        for _ in range(300):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+            h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge)
+            d = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+            w = w + d * min(1.0, 1.0 / np.abs(d).max())
+            w[1:] = np.maximum(w[1:], 0.0)  # more of a passage never speaks for clean
+            if np.abs(d).max() < 1e-6:
                 break
-        model.intercept, model.slope = float(a), float(b)
+        model.intercept, model.slopes = float(w[0]), (float(w[1]), float(w[2]))
     return model
 
 
@@ -307,6 +308,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, at
     """The rows of docs that score below `at`, all columns kept; equal texts share one fate."""
     model = train(docs, labels, limit)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    modest_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def score(texts):
