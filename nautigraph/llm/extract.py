@@ -242,7 +242,7 @@ def features(block: Block, text: str) -> np.ndarray:
     share = min(1.0, block.linked / max(1, sum(map(len, block.parts))))
     return np.array([
         1.0, "article" in m, "main" in m, "content_name" in m, "boiler_name" in m, "comment_name" in m, "nav" in m, "aside" in m, "footer" in m, "header" in m, "header_in_article" in m, "form" in m, "list" in m, "table" in m,
-        "heading" in m, "paragraph" in m, "caption" in m, share, share > 0.9, np.log1p(n) / 5, n < 25, text[-1] in ".!?…:;\"”", "©" in text or "copyright" in text[:200].lower(), block.node.container <= 2, block.node.nearest > 0, block.node.nearest < 0,
+        "heading" in m, "paragraph" in m, "caption" in m, share, share > 0.9, np.log1p(n) / 5, n < 25, text[-1] in ".!?…:;\"”", "©" in text or text.lower().startswith("copyright"), block.node.container <= 2, block.node.nearest > 0, block.node.nearest < 0,
     ], float)
 
 
