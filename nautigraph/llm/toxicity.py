@@ -19,7 +19,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +29,13 @@ MAX_LABELLED = 20_000
 #: Letters of the prefixes that priors back off through, and the weight of a prior in documents.
 PREFIXES = range(3, 11)
 PRIOR = 4.0
+_LONGEST_FIRST = tuple(reversed(PREFIXES))
 #: What every token costs, in nats, and the least score of a passage.
 DRIFT = 1.0
 PASSAGE = 2.0
 PREDICT = 0.7
 #: Log-odds that make no difference to a wider node's, and words whose scores a task holds.
-SAME, KNOWN = 0.05, 100_000
+SAME, KNOWN = 0.3, 100_000
 #: Best segments that the calibration looks at.
 MOST = 8
 #: Least documents of a token or prefix that the model keeps; rarer ones rest on their prior.
@@ -83,39 +83,31 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
 
 @dataclass
 class Model:
-    """Log-odds in sorted hash arrays, the extreme-value law and the logistic."""
+    """Log-odds by node, the extreme-value law and the logistic."""
 
-    keys: np.ndarray
-    log_odds: np.ndarray
+    log_odds: dict[str, float]
     rate: float = 1.0  # l of the extreme-value law
     factor: float = 0.1  # K
     slopes: tuple[float, float] = (0.5, 0.5)
     intercept: float = -4.0
 
-    def token_scores(self, words: list[str]) -> list[float]:
-        """Each word's log-odds, or those of its longest prefix that has any, less the drift."""
-        if not words or not len(self.keys):
-            return [-DRIFT] * len(words)
-        forms = [nodes(w)[::-1] for w in words]
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(g) for f in forms for g in f), np.uint64)
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        values = np.where(self.keys[at] == hashes, self.log_odds[at], np.nan).tolist()
-        out, k = [], 0
-        for f in forms:
-            out.append(next((v for v in values[k : k + len(f)] if v == v), 0.0) - DRIFT)
-            k += len(f)
-        return out
+    def token_score(self, word: str) -> float:
+        """The word's log-odds, or those of its longest prefix that has any, less the drift."""
+        if (s := self.log_odds.get(word)) is not None:
+            return s - DRIFT
+        for n in _LONGEST_FIRST:
+            if n <= len(word) and (s := self.log_odds.get(word[:n] + "*")) is not None:
+                return s - DRIFT
+        return -DRIFT
 
     def passages(self, words: list[str], cache: dict[str, float]) -> list[tuple[int, int, float]]:
         """Maximal segments.  A word that comes again neither adds nor costs: counts are of documents, not of tokens."""
-        if new := [w for w in set(words) if w not in cache]:
-            if len(cache) > KNOWN:
-                cache.clear()
-                new = list(set(words))
-            cache.update(zip(new, self.token_scores(new)))
+        if len(cache) > KNOWN:
+            cache.clear()
         scores, seen = [], set()
         for w in words:
-            s = cache[w]
+            if (s := cache.get(w)) is None:
+                s = cache[w] = self.token_score(w)
             if s > 0:
                 if w in seen:
                     s = 0.0
@@ -157,11 +149,12 @@ def build(names: list[str], toxic: np.ndarray, clean: np.ndarray, all_toxic: int
 
     A node's prior is the estimate from what its wider nodes count beyond the next narrower one, the widest
     first: disjoint evidence, so that a stem and its only form don't count the same documents twice.  A node
-    that says what its own prefix says anyway is left out.
+    is left out if it says what its own prefix says anyway, or if neither outweighs the drift: such tokens just
+    cost the drift.
     """
     base = (all_toxic + 0.5) / (all_toxic + all_clean + 1)
     root = math.log(base / (1 - base))
-    kept, odds = [], []
+    kept: dict[str, float] = {}
     chain: list[tuple[str, int, int, float]] = []  # open prefixes: stem, counts, log-odds
     for i in sorted(range(len(names)), key=lambda i: (names[i].rstrip("*"), not names[i].endswith("*"))):
         name, stem = names[i], names[i].rstrip("*")
@@ -176,17 +169,12 @@ def build(names: list[str], toxic: np.ndarray, clean: np.ndarray, all_toxic: int
             t, c = max(t - t_in, 0), max(c - c_in, 0)
             p = (t + PRIOR * p) / (t + c + PRIOR)
         s = math.log(p / (1 - p)) - root
-        if abs(s - (chain[-1][3] if chain else 0.0)) >= SAME:
-            kept.append(xxhash.xxh3_64_intdigest(name))
-            odds.append(s)
-            said = s
-        else:
-            said = chain[-1][3] if chain else 0.0
+        said = chain[-1][3] if chain else 0.0
+        if abs(s - said) >= SAME and max(s, said) > DRIFT:
+            kept[name] = said = s
         if name.endswith("*"):
             chain.append((stem, t_own, c_own, said))
-    keys = np.array(kept, np.uint64)
-    order = np.argsort(keys)
-    return Model(keys[order], np.array(odds, np.float32)[order])
+    return Model(kept)
 
 
 def fit_scores(model: Model, rows: list[tuple[int, int, list[float]]]) -> Model:
