@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_rows, splitmix
@@ -26,8 +26,8 @@ SHORTEST, TARGET, LONGEST = 8, 32, 256
 STRICT, LOOSE = np.uint32(0xFC000000), np.uint32(0xF0000000)
 #: One random 32-bit word per byte value, from a rule.
 GEAR = (splitmix(np.arange(256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-#: Rows in a partition of the text shuffle.
-ROWS = 20_000
+#: Rows in a partition of the text shuffle, and most partitions; beyond that they get larger.
+ROWS, PARTITIONS = 8_000, 20_000
 #: Ten bytes a chunk: 48 bits of digest, high part first, and the bytes that it stands for.
 _ENTRY = np.dtype([("high", ">u2"), ("low", ">u4"), ("bytes", ">u4")])
 
@@ -114,7 +114,7 @@ def in_order(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     Order is doc_id (null last), then text, so equal ids are a tie that text breaks.
     """
     ids = docs.select("doc_id")
-    parts = max(1, -(-ids.count() // rows))
+    parts = min(max(1, -(-ids.count() // rows)), PARTITIONS)
     found = ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []
     edges = np.array(sorted({int(e) for e in found}), np.int64)
 
@@ -126,11 +126,12 @@ def in_order(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     lead = sorted(ids.select("doc_id", part_of("doc_id").alias("part")).groupBy("part").agg(F.min("doc_id").alias("first")).collect())
     first = {p: f for p, f in lead}
     before = {p: lead[k - 1][0] for k, (p, _) in enumerate(lead)}
+    key = dict(zip(first, _dealing_keys(docs.sparkSession, max(1, len(lead)))))
 
     @F.pandas_udf("array<int>")
-    def also(doc_id, part):  # 2 p for a row of range p, 2 p + 1 for the head behind it
+    def also(doc_id, part):  # twice a range's key for its rows, one more for the head behind it
         lone = [None if pd.isna(d) else int(d) for d in doc_id]
-        return pd.Series([[2 * p, 2 * before[p] + 1] if first[p] == d else [2 * p] for d, p in zip(lone, part)])
+        return pd.Series([[2 * key[p], 2 * key[before[p]] + 1] if first[p] == d else [2 * key[p]] for d, p in zip(lone, part)])
 
     keyed = docs.select("doc_id", "text", part_of("doc_id").alias("part"))
     out = keyed.select("doc_id", "text", F.explode(also("doc_id", "part")).alias("to"))
@@ -139,6 +140,14 @@ def in_order(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     return out.sortWithinPartitions("part", "head", F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first())
 
 
+def _dealing_keys(spark: SparkSession, n: int) -> list[int]:
+    """n different numbers that Spark deals out to n different partitions, so that no task gets two ranges."""
+    at = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))
+    found = dict(tuple(r) for r in spark.range(32 * n).groupBy(at.alias("p")).agg(F.min("id")).collect())
+    spare = iter(range(32 * n, 33 * n))  # a partition that none of them reaches: its range shares another one
+    return [int(found[p]) if p in found else next(spare) for p in range(n)]
+
+
 def with_next(rows: Iterator[tuple]) -> Iterator[tuple[int, str, str]]:
     """(doc_id, text, text of the next row) from the rows of in_order(); holds one row back."""
     held = None
