@@ -27,11 +27,17 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+#: SQL that takes too much memory on whole tables: tests hold it against the smallest ones.
+SMALL_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, small: str | None = None):
     def add(f: Query) -> Query:
         _QUERIES[f.__name__] = f
         if sql:
             _SQL[f.__name__] = sql
+        if small:
+            SMALL_SQL[f.__name__] = small
         return f
 
     return add
@@ -360,7 +366,7 @@ def nearest_nodes(spark, sf_dir):
     return nearest_k(X.ports(spark, sf_dir), X.graph_nodes(spark, sf_dir), S.SNAP_NEIGHBOURS, "port_id").select("port_id", "node_id", "rk")
 
 
-@query(f"""WITH {X.SQL_PORTS}, {X.SQL_NODES}, {X.sql_rings()}, {X.sql_runs()}, near AS ({_KNN(16, 'ports', 'port_id', 'gnodes')}),
+@query(small=f"""WITH {X.SQL_PORTS}, {X.SQL_NODES}, {X.sql_rings()}, {X.sql_runs()}, near AS ({_KNN(16, 'ports', 'port_id', 'gnodes')}),
 k AS (SELECT *, port_id * 100 + rk AS lid, nlon AS x1, nlat AS y1, lon AS x2, lat AS y2, {X.sql_haversine('nlon', 'nlat', 'lon', 'lat')} AS km FROM near), {_sql_clear('k', 'lid', 1.0, -1.0, 0.6, 'cl')}
 SELECT port_id, arg_min(node_id, CASE WHEN clear THEN 0 ELSE 100 END + rk) AS node_id FROM k JOIN cl USING (lid) GROUP BY port_id""")
 def snap_to_water(spark, sf_dir):
