@@ -221,7 +221,7 @@ def links(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weight: str = "
 
 
 #: Texts, and characters of text, in a block of a centre's members.
-MEMBERS, CHARACTERS = 1024, 4_000_000
+MEMBERS, CHARACTERS = 256, 2_000_000
 
 
 def _among_members(first: DataFrame, root: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
