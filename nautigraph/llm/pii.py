@@ -143,18 +143,22 @@ def features(tokens: list[str], i: int, j: int) -> np.ndarray:
 
 def segments(tokens: list[str]) -> list[tuple[int, int]]:
     """Candidates by end: no blank at either end, and one at sign (or word) or as many digits as some kind can have."""
-    digits, ats, out = [0], [0], []
+    return [(i, j) for j, starts in enumerate(starts_by_end(tokens), 1) for i in starts]
+
+
+def starts_by_end(tokens: list[str]) -> Iterator[list[int]]:
+    """Where the candidates that end after each token start, one list at a time: islands can be as long as their text."""
+    digits, ats = [0], [0]
     for k, t in enumerate(tokens):
         digits.append(digits[-1] + (len(t) if t[0] in "0123456789" else 0))
         ats.append(ats[-1] + (t == "@" or t in ("at", "AT") and k > 0 and tokens[k - 1] in "[("))
     for j in range(1, len(tokens) + 1):
-        if tokens[j - 1] == " ":
-            continue
-        for i in range(max(0, j - MAX_TOKENS), j):
+        out = []
+        for i in range(max(0, j - MAX_TOKENS), j) if tokens[j - 1] != " " else ():
             n = ats[j] - ats[i]
             if tokens[i] != " " and (n == 1 and j - i >= 5 or n == 0 and 4 <= digits[j] - digits[i] <= 19):
-                out.append((i, j))
-    return out
+                out.append(i)
+        yield out
 
 
 def examples(n: int = 500, seed: int = 5) -> list[tuple[str, list[tuple[int, int, int]]]]:
@@ -264,12 +268,9 @@ def viterbi(tokens: list[str], w: np.ndarray) -> list[tuple[int, int, int]]:
     """The best set of disjoint segments as (first token, kind, end token)."""
     n = len(tokens)
     best, back = [0.0] * (n + 1), [None] * (n + 1)
-    by_end: list[list[int]] = [[] for _ in range(n + 1)]
-    for i, j in segments(tokens):
-        by_end[j].append(i)
-    for j in range(1, n + 1):
+    for j, starts in enumerate(starts_by_end(tokens), 1):
         best[j], back[j] = best[j - 1], None
-        for i in by_end[j]:
+        for i in starts:
             score = features(tokens, i, j) @ w
             kind = int(score.argmax())
             if (v := best[i] + score[kind] - MARGIN) > best[j]:
@@ -285,14 +286,18 @@ def viterbi(tokens: list[str], w: np.ndarray) -> list[tuple[int, int, int]]:
     return out[::-1]
 
 
-@lru_cache(20000)
-def _added(island: str, key: bytes) -> tuple[tuple[int, int, int], ...]:
+def added(island: str, key: bytes) -> tuple[tuple[int, int, int], ...]:
+    """The model's spans of one island, of any length: the pass is linear and is over all of it."""
     tokens = _TOKEN.findall(island)
     starts = np.cumsum([0, *map(len, tokens)])
     w = np.frombuffer(key).reshape(len(FEATURES), len(KINDS))
     return tuple((int(starts[i]), kind, int(starts[j])) for i, kind, j in viterbi(tokens, w))
 
 
+#: Short islands come again; long ones hardly do, and would fill the memory.
+_added = lru_cache(20000)(added)
+
+
 def find_spans(text: str, key: bytes) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base, all) spans; all holds every base span and those of the model that touch none of them."""
     base = base_spans(text)
@@ -301,7 +306,7 @@ def find_spans(text: str, key: bytes) -> tuple[list[tuple[int, int, int]], list[
     for start, island in islands(text):
         if len(island) < 7:
             continue  # shorter than any kind
-        for a, kind, b in _added(island, key) if len(island) <= 400 else _windows(island, key):
+        for a, kind, b in (_added if len(island) <= 400 else added)(island, key):
             a, b = a + start, b + start
             while k < len(taken) and taken[k][1] <= a:
                 k += 1
@@ -311,16 +316,6 @@ def find_spans(text: str, key: bytes) -> tuple[list[tuple[int, int, int]], list[
     return base, sorted(base + more)
 
 
-def _windows(island: str, key: bytes) -> list[tuple[int, int, int]]:
-    """A very long island, at its blanks: segments never begin or end at one, and few hold any."""
-    out, at = [], 0
-    for part in re.split(r"(\s+)", island):
-        if part.strip():
-            out += [(a + at, k, b + at) for a, k, b in _added(part, key)]
-        at += len(part)
-    return out
-
-
 def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 

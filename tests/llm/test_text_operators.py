@@ -76,6 +76,22 @@ def test_model_finds_spans_of_new_examples_and_leaves_others_alone():
     assert pii.find_spans("built in 2019-10-11 as version 3.14.1 for $1,000.50 (see 12-34)", key)[1] == []
 
 
+@pytest.mark.parametrize("n", (20, 40, 400))
+def test_lists_of_any_length_keep_spans_that_hold_blanks(n):
+    rnd, key = random.Random(n), pii.trained().tobytes()
+    num = lambda k: "".join(rnd.choice("0123456789") for _ in range(k))
+
+    def card():
+        d = rnd.choice("3456") + num(14)
+        d += next(c for c in "0123456789" if pii.luhn(d + c))
+        return " ".join(d[k : k + 4] for k in range(0, 16, 4))
+
+    for kind, one in (("phone", lambda: f"({num(3)}) {num(3)}-{num(4)}"), ("card", card)):
+        wanted = [one() for _ in range(n)]
+        text = "list: " + " ".join(wanted) + " end"
+        assert [(pii.KINDS[k], text[a:b]) for a, k, b in pii.find_spans(text, key)[1]] == [(kind, x) for x in wanted]
+
+
 def test_segments_sum_to_one_labelling():
     tokens = pii._TOKEN.findall("(269) 555-3296 x")
     segs = pii.segments(tokens)
