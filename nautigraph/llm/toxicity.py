@@ -34,6 +34,8 @@ _LONGEST_FIRST = tuple(reversed(PREFIXES))
 DRIFT = 1.0
 PASSAGE = 2.0
 PREDICT = 0.7
+#: Nats that the sum has to fall below its highest for earlier words to count anew: more than any one word adds.
+SPENT = 10.0
 #: Log-odds that make no difference to a wider node's, and words whose scores a task holds.
 SAME, KNOWN = 0.3, 100_000
 #: Best segments that the calibration looks at.
@@ -101,10 +103,15 @@ class Model:
         return -DRIFT
 
     def passages(self, words: list[str], cache: dict[str, float]) -> list[tuple[int, int, float]]:
-        """Maximal segments.  A word that comes again neither adds nor costs: counts are of documents, not of tokens."""
+        """Maximal segments.  A word that comes again within a stretch neither adds nor costs: counts are of documents, not of tokens.
+
+        A stretch begins with a word that counts.  It ends when the sum is back where it began, so that no segment
+        reaches on from it, or has fallen by SPENT below its highest; then every word counts anew.
+        """
         if len(cache) > KNOWN:
             cache.clear()
         scores, seen = [], set()
+        total = highest = 0.0  # of the stretch
         for w in words:
             if (s := cache.get(w)) is None:
                 s = cache[w] = self.token_score(w)
@@ -113,6 +120,12 @@ class Model:
                     s = 0.0
                 seen.add(w)
             scores.append(s)
+            if seen:
+                total += s
+                highest = max(highest, total)
+                if total <= 0 or highest - total >= SPENT:
+                    seen.clear()
+                    total = highest = 0.0
         return maximal_segments(scores)
 
     def surprise(self, top: list[float], n: int) -> tuple[float, float]:

@@ -256,6 +256,22 @@ def test_maximal_segments_equal_their_definition():
         assert [(a, b) for a, b, _ in toxicity.maximal_segments(s)] == split(s)
 
 
+def test_toxic_words_count_anew_in_a_later_passage():
+    bad = [f"bad{c}" for c in "abcdefgh"]
+    model = toxicity.Model({w: 3.0 for w in bad}, rate=1.0, factor=0.05)
+    found = lambda words: [p[:2] for p in model.passages(words, {}) if p[2] >= toxicity.PASSAGE]
+    clean = ["clean"] * 40
+    assert found(bad + clean + bad + clean + bad) == [(0, 8), (48, 56), (96, 104)]
+    assert found(bad + clean[:12] + bad)[-1][1] == 28  # close by, before all that the first one has is spent
+    # early mentions one by one, each outweighed by what is around it, don't use up the words of a dense passage
+    early = [w for b in bad for w in [*clean, b]] + clean
+    assert (len(early), len(early) + 8, 16.0) in model.passages(early + bad, {})
+    # but within one stretch a word counts once, and one word that comes over and over adds up to no passage
+    assert model.passages([bad[0], bad[0], bad[1]], {}) == [(0, 3, 4.0)]
+    assert max(p[2] for p in model.passages([bad[0], "clean", "clean"] * 500, {})) == 2.0
+    assert max(p[2] for p in model.passages([bad[0]] * 500, {})) == 2.0
+
+
 def test_toxicity_held_out(spark):
     from nautigraph.llm.common import held_out
 
