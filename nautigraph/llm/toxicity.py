@@ -36,8 +36,8 @@ PASSAGE = 2.0
 PREDICT = 0.7
 #: Nats that the sum has to fall below its highest for earlier words to count anew: more than any one word adds.
 SPENT = 10.0
-#: Log-odds that make no difference to a wider node's, and words whose scores a task holds.
-SAME, KNOWN = 0.3, 100_000
+#: Words whose scores a task holds.
+KNOWN = 100_000
 #: Best segments that the calibration looks at.
 MOST = 8
 #: Least documents of a token or prefix that the model keeps; rarer ones rest on their prior.
@@ -162,8 +162,7 @@ def build(names: list[str], toxic: np.ndarray, clean: np.ndarray, all_toxic: int
 
     A node's prior is the estimate from what its wider nodes count beyond the next narrower one, the widest
     first: disjoint evidence, so that a stem and its only form don't count the same documents twice.  A node
-    is left out if it says what its own prefix says anyway, or if neither outweighs the drift: such tokens just
-    cost the drift.
+    is left out only if lookups give its very log-odds without it, those of its longest kept prefix.
     """
     base = (all_toxic + 0.5) / (all_toxic + all_clean + 1)
     root = math.log(base / (1 - base))
@@ -183,7 +182,7 @@ def build(names: list[str], toxic: np.ndarray, clean: np.ndarray, all_toxic: int
             p = (t + PRIOR * p) / (t + c + PRIOR)
         s = math.log(p / (1 - p)) - root
         said = chain[-1][3] if chain else 0.0
-        if abs(s - said) >= SAME and max(s, said) > DRIFT:
+        if s != said:
             kept[name] = said = s
         if name.endswith("*"):
             chain.append((stem, t_own, c_own, said))

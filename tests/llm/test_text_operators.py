@@ -272,6 +272,30 @@ def test_toxic_words_count_anew_in_a_later_passage():
     assert max(p[2] for p in model.passages([bad[0]] * 500, {})) == 2.0
 
 
+def test_token_scores_equal_a_plain_recursion():
+    rnd = random.Random(4)
+    docs = [(int(rnd.random() < 0.2), {"".join(rnd.choice("abc") for _ in range(rnd.randint(2, 6))) for _ in range(9)}) for _ in range(400)]
+    docs += [(1, {"stronger", "mildly"})] * 30 + [(0, {"mildly", "clearly"})] * 60
+    counts = {}
+    for toxic, ws in docs:
+        for g in {g for w in ws for g in toxicity.nodes(w)}:
+            t, c = counts.get(g, (0, 0))
+            counts[g] = t + toxic, c + 1 - toxic
+    names = sorted(counts)
+    n = [sum(x == label for x, _ in docs) for label in (1, 0)]
+    model = toxicity.build(names, np.array([counts[g][0] for g in names]), np.array([counts[g][1] for g in names]), *n)
+    base = (n[0] + 0.5) / (len(docs) + 1)
+    some = set()
+    for w in {w for _, ws in docs for w in ws} | {"abcabcx", "strongest", "zzz"}:
+        p, held = base, [counts[g] for g in toxicity.nodes(w) if sum(counts.get(g, (0, 0))) >= toxicity.KEEP]
+        for (t, c), (t_in, c_in) in zip(held, [*held[1:], (0, 0)]):
+            p = (t - t_in + toxicity.PRIOR * p) / (t - t_in + c - c_in + toxicity.PRIOR)
+        s = np.log(p / (1 - p)) - np.log(base / (1 - base))
+        assert model.token_score(w) + toxicity.DRIFT == pytest.approx(s, abs=1e-9)
+        some.add(int(s > 0) + int(s > toxicity.DRIFT))
+    assert some == {0, 1, 2}  # clean, mildly toxic and toxic words
+
+
 def test_toxicity_held_out(spark):
     from nautigraph.llm.common import held_out
 
