@@ -31,7 +31,9 @@ FOLLOW, CONTAINER = 1.0, 0.8
 
 # Fixed values of HTML: elements by their part in the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style title noscript template iframe textarea select object svg math canvas head audio video".split())
+SKIPPED = frozenset("script style title noscript template iframe textarea select svg canvas head audio video".split())
+#: Skipped elements without raw text: if they aren't closed, they end at the next block.  svg ends there anyway, as in HTML parsers.
+LEFT_AT_BLOCKS = frozenset("canvas audio video".split())
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -85,6 +87,7 @@ def parse(page: str) -> list[tuple[Block, str]]:
     stack, open_, numbers, links = [root], {}, 0, 0
     block = Block(root)
     pattern, at, n = _TAG, 0, len(page)
+    endless: set[str] = set()
 
     def end_block() -> None:
         nonlocal block
@@ -137,9 +140,8 @@ def parse(page: str) -> list[tuple[Block, str]]:
             if tag == "head":
                 continue  # what it may hold is skipped by itself
             if not attrs.endswith("/"):
-                gone = _end_of(tag).search(page, at)
-                at = n if gone is None else gone.end()
-            if tag in ("textarea", "select", "iframe", "object", "video", "audio"):
+                at = _skip(page, tag, at, endless)
+            if tag in ("textarea", "select", "iframe", "video", "audio"):
                 end_block()
             continue
         if tag in ("br", "hr"):
@@ -179,6 +181,34 @@ def _end_of(tag: str) -> re.Pattern:
     return re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I)
 
 
+#: What HTML parsers leave svg at, its end, and parts of it that may hold blocks.
+_BLOCK = rf"<(?:{'|'.join(sorted(BLOCKS - {'html', 'body', 'legend', 'option'}))})(?=[\s/>])"
+_FIRST_BLOCK = re.compile(_BLOCK, re.I)
+_SVG = re.compile(rf"(?P<end></svg(?=[\s/>])[^>]*>)|<(?P<part>foreignobject|desc)(?=[\s/>])|{_BLOCK}", re.I)
+
+
+def _skip(page: str, tag: str, at: int, endless: set[str]) -> int:
+    """Where the skipped element that begins at `at` ends; endless holds tags that are not closed any more."""
+
+    def end(tag: str, at: int) -> int | None:
+        gone = None if tag in endless else _end_of(tag).search(page, at)
+        if gone is None:
+            endless.add(tag)
+        return gone and gone.end()
+
+    if tag == "svg":
+        while m := _SVG.search(page, at):
+            if m["end"]:
+                return m.end()
+            if not m["part"]:
+                return m.start()
+            at = end(m["part"].lower(), m.end()) or m.end()
+        return len(page)
+    if (out := end(tag, at)) is None and tag in LEFT_AT_BLOCKS and (m := _FIRST_BLOCK.search(page, at)):
+        return m.start()
+    return len(page) if out is None else out
+
+
 def _above(stack: list[Node], tag: str) -> Iterator[Node]:
     for x in reversed(stack):
         if x.tag == tag:

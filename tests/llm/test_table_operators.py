@@ -213,6 +213,16 @@ def plain_top(rows, every, k):
     return out
 
 
+def test_formulas_stay_and_unclosed_graphics_end_at_the_next_block():
+    texts = lambda page: [t for _, t in extract.parse(page)]
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p><p>More</p>") == ["Let x=2 hold.", "More"]
+    assert texts("<p>A <math><mi>x</mi></p><p>kept</p>") == ["A x", "kept"]
+    assert texts('<p>see <object data="x">the table</object> here</p>') == ["see the table here"]
+    assert texts("<p>A <svg><text>no</text></p><p>kept</p><p>b <svg><text>no</text></svg> c</p>") == ["A", "kept", "b c"]
+    assert texts("<p>A <svg><foreignObject><div>no</div></foreignObject><text>no</text></svg> b</p>") == ["A b"]
+    assert texts("<video><p>kept</p>") == ["kept"] and texts("<p>a<script>no <p>no</p>") == ["a"]
+
+
 @pytest.mark.parametrize("block,query", [(16384, 4096), (9, 3)])
 def test_search_equals_all_scores(spark, monkeypatch, block, query):
     monkeypatch.setattr(vafile, "BLOCK", block)
