@@ -83,7 +83,7 @@ def truncated(x: Column) -> Column:
 
 def edge_samples(km: Column) -> Column:
     """Intervals in which an edge is tested: 50 m for less than 3 km, else 500 m, three at least."""
-    return F.greatest(F.lit(3), F.ceil(km / F.when(km < 3.0, 0.05).otherwise(0.5)).cast("int"))
+    return F.greatest(F.lit(S.EDGE_SAMPLES), F.ceil(km / F.when(km < S.EDGE_SHORT_KM, S.EDGE_STEP_SHORT_KM).otherwise(S.EDGE_STEP_KM)).cast("int"))
 
 
 def line_samples(km: Column, step: float) -> Column:
@@ -101,6 +101,3 @@ def distance_from_segment(lon, lat, lon1, lat1, lon2, lat2, literal: bool = True
     t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
     return F.sqrt(F.pow(x - (x1 + t * dx), F.lit(2.0)) + F.pow(y - (y1 + t * dy), F.lit(2.0)))
 
-
-def same_point(lon1, lat1, lon2, lat2) -> Column:
-    return (F.abs(_col(lon1) - _col(lon2)) < 1e-9) & (F.abs(_col(lat1) - _col(lat2)) < 1e-9)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cut import cut
+from .nearest import Nearest
 
 
 def tile(x: Column, size: float) -> Column:
@@ -28,15 +33,52 @@ def point_tiles(points: DataFrame, size: float, lon: str = "lon", lat: str = "la
     return points.withColumn("tx", tile(F.col(lon), size)).withColumn("ty", tile(F.col(lat), size))
 
 
-def nearest_k(points: DataFrame, nodes: DataFrame, k: int, key: str, size: float = 4.0) -> DataFrame:
+#: Nodes that are held in memory at most to find the nearest, at 24 bytes each; with more, joins by tiles find them.
+MEMORY_NODES = 2_000_000
+#: Points in a task, and nodes around a point that a first look should meet.
+POINTS, FIRST_LOOK = 2_000, 4_096
+
+
+def nearest_k(points: DataFrame, nodes: DataFrame, k: int, key: str, most: int = MEMORY_NODES) -> DataFrame:
     """key, lon, lat (of points), node_id, node_lon, node_lat, d2, rk: the k nearest nodes in planar degrees.
 
-    Ties go to the smaller node_id.  Points look at the tiles around them; those whose kth neighbour is not yet
-    certain look at four times as many in the next round, until a round covers the world.  points: key, lon, lat
-    with unique keys; nodes: node_id, lon, lat.
+    Ties go to the smaller node_id.  points: key, lon, lat with unique keys; nodes: node_id, lon, lat.  Nodes are
+    counted first: up to `most` of them go to the tasks as a grid, more are met by joins on tiles.
+    """
+    points = points.select(key, "lon", "lat").where("lon is not null and lat is not null")
+    return _by_grid(points, nodes, k, key) if nodes.count() <= most else _by_tiles(points, nodes, k, key)
+
+
+def _by_grid(points: DataFrame, nodes: DataFrame, k: int, key: str) -> DataFrame:
+    held = nodes.select("node_id", "lon", "lat").toPandas()
+    grid = Nearest(held["node_id"].to_numpy(np.int64), held["lon"].to_numpy(float), held["lat"].to_numpy(float))
+    shared = points.sparkSession.sparkContext.broadcast(grid)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = shared.value
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                b = whole.iloc[at : at + 1000]
+                found = [g.find(x, y, k) for x, y in zip(b["lon"].tolist(), b["lat"].tolist())]
+                sizes = [len(f[0]) for f in found]
+                ids, d2, place = (np.concatenate(c) for c in zip(*found))
+                out = b.loc[b.index.repeat(sizes)].reset_index(drop=True)
+                yield out.assign(node_id=ids, node_lon=g.lon[place], node_lat=g.lat[place], d2=d2, rk=np.concatenate([np.arange(1, n + 1, dtype=np.int32) for n in sizes]))
+
+    kind = points.schema[key].dataType.simpleString()
+    dealt = points.repartition(max(1, min(-(-points.count() // POINTS), 20_000)))
+    return dealt.mapInPandas(run, f"`{key}` {kind}, lon double, lat double, node_id long, node_lon double, node_lat double, d2 double, rk int")
+
+
+def _by_tiles(points: DataFrame, nodes: DataFrame, k: int, key: str) -> DataFrame:
+    """Points look at the tiles around them; those whose kth neighbour is not yet certain look at tiles of four times the area.
+
+    The first tiles are so small that a point in the densest square degree meets about FIRST_LOOK nodes.
     """
     nodes = nodes.select("node_id", F.col("lon").alias("node_lon"), F.col("lat").alias("node_lat"))
-    open_ = points.select(key, "lon", "lat").where("lon is not null and lat is not null")
+    dense = point_tiles(nodes, 1.0, "node_lon", "node_lat").groupBy("tx", "ty").count().agg(F.max("count")).first()[0] or 1
+    size = max(0.01, min(4.0, (FIRST_LOOK / (9 * dense)) ** 0.5))
+    open_ = points
     done: list[DataFrame] = []
     while True:
         # one ring of tiles reaches at least `size` degrees in every direction
@@ -48,19 +90,18 @@ def nearest_k(points: DataFrame, nodes: DataFrame, k: int, key: str, size: float
         hits = near.join(tiles, ["tx", "ty"]).drop("tx", "ty").withColumn("d2", dx * dx + dy * dy)
         w = Window.partitionBy(key).orderBy("d2", "node_id")
         best = hits.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
-        whole = size >= 720.0
-        if whole:
+        if size >= 720.0:
             done.append(best)
             break
         kth = best.groupBy(key).agg(F.max("d2").alias("far"), F.count("*").alias("n"))
-        sure = kth.where((F.col("n") == k) & (F.col("far") <= size * size)).select(key)
+        sure = kth.where((F.col("n") == k) & (F.col("far") < size * size)).select(key)
         best = best.transform(cut)
         sure = sure.transform(cut)
         done.append(best.join(sure, key, "left_semi"))
-        open_ = open_.join(sure, key, "left_anti")
+        open_ = open_.join(sure, key, "left_anti").transform(cut)
         if not open_.limit(1).count():
             break
-        size *= 4
+        size = size * 2 if size * 2 < 32.0 else 720.0
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

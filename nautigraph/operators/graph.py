@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import semantics as S
 from ..functions.cut import cut
-from ..functions.geo import depth_ratio, edge_samples, haversine_km, line_samples, normalised_lon, planar_km
+from ..functions.geo import depth_ratio, edge_samples, haversine_km, line_samples, planar_km
 from ..functions.tiles import nearest_k
-from ..plans.landindex import LandIndex
+from ..plans.landindex import LandIndex, land_shared, numbered
 from . import land as L
 from .components import components, main_component
 from .quadtree import neighbours, up
@@ -82,12 +83,11 @@ def prune(edges: DataFrame, nodes: DataFrame, land: LandIndex) -> DataFrame:
 
 
 def _weighed(ends: DataFrame, land: LandIndex) -> DataFrame:
-    shared = ends.sparkSession.sparkContext.broadcast(land)
+    shared = land_shared(ends.sparkSession, land)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keep = [not shared.value.edge_crosses(*r) for r in zip(b["lon1"], b["lat1"], b["lon2"], b["lat2"])]
-            yield b[keep]
+            yield b[~shared.value.edge_crosses(b["lon1"], b["lat1"], b["lon2"], b["lat2"])]
 
     kept = ends.select("src", "dst", "lon1", "lat1", "lon2", "lat2").mapInPandas(run, "src long, dst long, lon1 double, lat1 double, lon2 double, lat2 double")
     return kept.select("src", "dst", haversine_km("lon1", "lat1", "lon2", "lat2").alias("weight_km"))
@@ -123,19 +123,19 @@ def bridges(nodes: DataFrame, edges: DataFrame, land: LandIndex) -> DataFrame:
     # neighbours come by planar distance, and the first that is too far ends a node's list
     w = Window.partitionBy("island").orderBy("rk")
     near = near.withColumn("far", F.max(F.when(F.col("km") > S.BRIDGE_KM, 1).otherwise(0)).over(w)).where("far = 0")
-    clear = _clear(near, lambda i, r: i.bridge_clear((r["lon"], r["lat"]), (r["node_lon"], r["node_lat"])), land).where("clear")
+    clear = _clear(near, lambda i, b: i.bridges_clear(b["lon"], b["lat"], b["node_lon"], b["node_lat"]), land).where("clear")
     first = clear.groupBy("island").agg(F.min_by(F.struct("node_id", "km"), "rk").alias("b"))
     best = first.join(comps.withColumnRenamed("node_id", "island"), "island").groupBy("comp").agg(F.min(F.struct("b.km", "island", "b.node_id")).alias("b"))
     return best.select(F.col("b.island").alias("src"), F.col("b.node_id").alias("dst"), F.col("b.km").alias("weight_km"))
 
 
-def _clear(df: DataFrame, test: Callable[[LandIndex, pd.Series], bool], land: LandIndex) -> DataFrame:
-    """df with clear, from a test of each row against land."""
-    shared = df.sparkSession.sparkContext.broadcast(land)
+def _clear(df: DataFrame, test: Callable[[LandIndex, pd.DataFrame], np.ndarray], land: LandIndex) -> DataFrame:
+    """df with clear, from a test of its rows against land, a batch at a time."""
+    shared = land_shared(df.sparkSession, land)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(clear=[bool(test(shared.value, r)) for r in b.to_dict("records")])
+            yield b.assign(clear=test(shared.value, b))
 
     return df.mapInPandas(run, df.schema.simpleString()[7:-1].replace(":", " ") + ", clear boolean")
 
@@ -195,14 +195,33 @@ def csr_offsets(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return degrees(nodes, edges).withColumn("first", F.coalesce(F.sum("degree").over(before), F.lit(0)))
 
 
-def snap_candidates(ports: DataFrame, nodes: DataFrame, key: str = "port_id", k: int = S.SNAP_NEIGHBOURS) -> DataFrame:
-    return nearest_k(ports, nodes, k, key)
+def snap(ports: DataFrame, nodes: DataFrame, land: LandIndex, key: str = "port_id") -> DataFrame:
+    """key, node_id: the nearest of 16 nodes that a clear connector reaches, else the nearest.
 
+    Connectors are tested by rounds of rank, 1, 2 to 4, 5 to 16, and only for ports that have none so far.
+    """
+    shared = land_shared(ports.sparkSession, land)
+    near = nearest_k(ports, nodes, S.SNAP_NEIGHBOURS, key)
+    listed = near.groupBy(key, "lon", "lat").agg(F.array_sort(F.collect_list(F.struct("rk", "node_id", "node_lon", "node_lat"))).alias("near"))
 
-def snap(ports: DataFrame, nodes: DataFrame, land: LandIndex, key: str = "port_id") -> DataFrame:
-    """key, node_id: the nearest of 16 nodes that a clear connector reaches, else the nearest."""
-    near = _clear(snap_candidates(ports, nodes, key), lambda i, r: i.connector_clear((r["node_lon"], r["node_lat"]), (r["lon"], r["lat"])), land)
-    return near.groupBy(key).agg(F.min_by("node_id", F.struct(~F.col("clear"), "rk")).alias("node_id"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sizes = b["near"].map(len).to_numpy()
+            flat = [n for near in b["near"] for n in near]
+            owner, rank = numbered(sizes)
+            ids, nx, ny = (np.array([n[c] for n in flat]) for c in ("node_id", "node_lon", "node_lat"))
+            x, y = b["lon"].to_numpy()[owner], b["lat"].to_numpy()[owner]
+            chosen = np.cumsum(sizes) - sizes  # the nearest, unless another is reached
+            open_ = np.ones(len(b), bool)
+            for low, high in ((0, 1), (1, 4), (4, S.SNAP_NEIGHBOURS)):
+                at = np.flatnonzero(open_[owner] & (rank >= low) & (rank < high))
+                at = at[shared.value.connectors_clear(nx[at], ny[at], x[at], y[at])]
+                first, where = np.unique(owner[at], return_index=True)
+                chosen[first], open_[first] = at[where], False
+            yield pd.DataFrame({key: b[key], "node_id": ids[chosen]})
+
+    schema = f"{ports.select(key).schema.simpleString()[7:-1].replace(':', ' ')}, node_id long"
+    return listed.mapInPandas(run, schema)
 
 
 def connector_samples(links: DataFrame, key: str) -> DataFrame:
@@ -222,6 +241,3 @@ def unwrapped(points: DataFrame, path: str, seq: str) -> DataFrame:
     out = points.withColumn("turn_", F.coalesce(turn, F.lit(0)))
     return out.withColumn("lon_u", F.col("lon") + 360.0 * F.sum("turn_").over(w)).drop("turn_")
 
-
-def wrapped(points: DataFrame) -> DataFrame:
-    return points.withColumn("lon_n", normalised_lon(F.col("lon")))

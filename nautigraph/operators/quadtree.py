@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import semantics as S
 from ..functions.cut import cut
-from ..plans.landindex import LandIndex
+from ..plans.landindex import LandIndex, land_shared
 
 _CELL = "depth int, ix int, iy int"
 
@@ -28,37 +29,58 @@ def children(cells: DataFrame) -> DataFrame:
     return kids.select((F.col("depth") + 1).alias("depth"), (F.col("ix") * 2 + F.col("dx")).alias("ix"), (F.col("iy") * 2 + F.col("dy")).alias("iy"))
 
 
+def _typed(cells: pd.DataFrame, land: LandIndex, deepest: int) -> pd.DataFrame:
+    d, x, y = (cells[c].to_numpy(np.int64) for c in ("depth", "ix", "iy"))
+    kinds = land.cell_kinds(d, x, y)
+    last = np.flatnonzero((kinds == "mixed") & (d >= deepest))
+    w, h = 360.0 / 2.0 ** d[last], 180.0 / 2.0 ** d[last]
+    kinds[last] = np.where(land.is_land(-180.0 + (x[last] + 0.5) * w, -90.0 + (y[last] + 0.5) * h), "land", "water")
+    return cells.assign(type=kinds)
+
+
 def classify(cells: DataFrame, land: LandIndex, deepest: int) -> DataFrame:
     """depth, ix, iy, type: water, land or mixed; at the deepest level a mixed cell is what its centre is."""
-    shared = cells.sparkSession.sparkContext.broadcast(land)
+    shared = land_shared(cells.sparkSession, land)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            kinds = []
-            for d, x, y in zip(b["depth"], b["ix"], b["iy"]):
-                w, h = 360.0 / 2.0**d, 180.0 / 2.0**d
-                box = (-180.0 + x * w, -90.0 + y * h, -180.0 + (x + 1) * w, -90.0 + (y + 1) * h)
-                kind = shared.value.cell_kind(*box)
-                if kind == "mixed" and d >= deepest:
-                    kind = "land" if shared.value.is_land((box[0] + box[2]) / 2, (box[1] + box[3]) / 2)[0] else "water"
-                kinds.append(kind)
-            yield b.assign(type=kinds)
+            yield _typed(b, shared.value, deepest)
 
     return cells.select("depth", "ix", "iy").mapInPandas(run, f"{_CELL}, type string")
 
 
-def build(spark: SparkSession, land: LandIndex, deepest: int = S.DEFAULT_DEPTH) -> DataFrame:
-    """All leaves (depth, ix, iy, type): one round a level, in which mixed cells give way to their four parts."""
-    level = spark.createDataFrame([(0, 0, 0)], _CELL)
-    leaves: list[DataFrame] = []
-    for depth in range(deepest + 1):
-        level = classify(level, land, deepest).transform(cut)
-        leaves.append(level.where("type <> 'mixed'"))
-        mixed = level.where("type = 'mixed'")
-        n = mixed.count()
-        if not n:
-            break
-        level = children(mixed).repartition(max(1, min(4 * n // 20_000, 4096)))
+#: Cells of a level that the driver looks at itself; levels grow from a single cell.
+FEW = 20_000
+#: Cells of a level in a task.
+CELLS = 2_000
+
+
+def build(spark: SparkSession, land: LandIndex, deepest: int = S.DEFAULT_DEPTH, start: int = 0) -> DataFrame:
+    """All leaves (depth, ix, iy, type) from the cells of depth `start` down: in one round a level, mixed cells give way to their four parts.
+
+    The driver, which holds the land anyhow, goes down to the level of FEW cells; the rest are jobs.
+    """
+    side = np.arange(2**start)
+    level = pd.DataFrame({"depth": start, "ix": np.repeat(side, len(side)), "iy": np.tile(side, len(side))})
+    few = [level.head(0).assign(type="")]
+    while len(level) and len(level) <= FEW:
+        typed = _typed(level, land, deepest)
+        few.append(typed[typed["type"] != "mixed"])
+        mixed = typed[typed["type"] == "mixed"]
+        level = pd.concat([mixed[["depth"]].assign(ix=2 * mixed["ix"] + a, iy=2 * mixed["iy"] + b) for a in (0, 1) for b in (0, 1)])
+        level["depth"] += 1
+    leaves = [spark.createDataFrame(pd.concat(few), f"{_CELL}, type string")]
+    if len(level):
+        cells = spark.createDataFrame(level, _CELL)
+        n = len(level)
+        for _ in range(int(level["depth"].iloc[0]), deepest + 1):
+            typed = classify(cells.repartition(max(1, min(-(-n // CELLS), 20_000))), land, deepest).transform(cut)
+            leaves.append(typed.where("type <> 'mixed'"))
+            mixed = typed.where("type = 'mixed'")
+            n = 4 * mixed.count()
+            if not n:
+                break
+            cells = children(mixed)
     out = leaves[0]
     for x in leaves[1:]:
         out = out.unionByName(x)
@@ -107,9 +129,17 @@ def coarsen_level(leaves: DataFrame, depth: int) -> DataFrame:
 
 def coarsen(leaves: DataFrame, deepest: int = S.DEFAULT_DEPTH) -> DataFrame:
     """One sweep from the deepest level up: land never changes, so a second one would find nothing."""
+    leaves = leaves.transform(cut)
+    water = leaves.where("type = 'water' and depth > 0").groupBy("depth", F.floor(F.col("ix") / 2), F.floor(F.col("iy") / 2)).count()
+    full = {r[0] for r in water.where("count = 4").select("depth").distinct().collect()}
     for depth in range(deepest, 0, -1):
-        if _water_quads(leaves, depth).limit(1).count():
-            leaves = coarsen_level(leaves, depth).transform(cut)
+        if depth not in full:
+            continue
+        before = leaves
+        leaves = coarsen_level(before, depth).transform(cut)
+        above = (F.col("type") == "water") & (F.col("depth") == depth - 1)
+        if depth > 1 and _water_quads(leaves.where(above), depth - 1).limit(1).count():
+            full.add(depth - 1)
     return leaves
 
 

@@ -25,6 +25,10 @@ _LINE = "array<struct<lon:double,lat:double>>"
 _ROUTE = f"req_id long, raw {_LINE}, los {_LINE}, final {_LINE}, cost_km double, nodes_explored long, legs int, time_ms double, error string"
 
 
+#: Legs of requests in a task, and requests that are answered together: each one's time is its share.
+LEGS, TOGETHER = 256, 128
+
+
 @dataclass
 class Engine:
     """A graph with its land, ready for requests."""
@@ -63,7 +67,9 @@ class Engine:
     def routes(self, requests: DataFrame) -> DataFrame:
         """requests (req_id, ports, penalty, error) to lines, cost, nodes explored, legs and error; a row each.
 
-        Requests with an error pass it on.  There is no shuffle: requests are answered where they are.
+        Requests with an error pass it on.  Requests are few bytes and much work, so they are counted and dealt out
+        by number, LEGS legs to a task; within a task those of one penalty follow each other.  Those of a stream are
+        answered where they are.
         """
         if self._shared is None:
             self._shared = self.spark.sparkContext.broadcast((routing.load(*graphs_rounded(self.nodes, self.edges)), self.land))
@@ -71,20 +77,27 @@ class Engine:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             g, land = shared.value
-            for b in batches:
-                rows = []
-                for req, ports, penalty, error in zip(b["req_id"], b["ports"], b["penalty"], b["error"]):
-                    began = time.perf_counter()
-                    if error is None:
-                        points = [(p["lon"], p["lat"]) for p in ports]
-                        r = routing.itinerary(g, land, points, float(penalty), semantics)
-                    else:
-                        r = {"raw": [], "los": [], "final": [], "cost_km": 0.0, "explored": 0, "legs": 0, "error": error}
-                    lines = [[{"lon": float(x), "lat": float(y)} for x, y in r[k]] for k in ("raw", "los", "final")]
-                    rows.append((req, *lines, r["cost_km"], r["explored"], r["legs"], (time.perf_counter() - began) * 1000, r["error"]))
-                yield pd.DataFrame(rows, columns=["req_id", "raw", "los", "final", "cost_km", "nodes_explored", "legs", "time_ms", "error"])
-
-        return requests.select("req_id", "ports", "penalty", "error").mapInPandas(run, _ROUTE)
+            for whole in batches:
+                for at in range(0, len(whole), TOGETHER):
+                    yield answered(whole.iloc[at : at + TOGETHER], g, land)
+
+        def answered(b: pd.DataFrame, g: routing.Graph, land: LandIndex) -> pd.DataFrame:
+            began = time.perf_counter()
+            asked = [([(p["lon"], p["lat"]) for p in ports], float(penalty)) for ports, penalty, error in zip(b["ports"], b["penalty"], b["error"]) if error is None]
+            found = iter(routing.itineraries(g, land, asked, semantics))
+            rows = []
+            for req, error in zip(b["req_id"], b["error"]):
+                r = next(found) if error is None else {"raw": [], "los": [], "final": [], "cost_km": 0.0, "explored": 0, "legs": 0, "error": error}
+                lines = [[{"lon": float(x), "lat": float(y)} for x, y in r[k]] for k in ("raw", "los", "final")]
+                rows.append((req, *lines, r["cost_km"], r["explored"], r["legs"], r["error"]))
+            out = pd.DataFrame(rows, columns=["req_id", "raw", "los", "final", "cost_km", "nodes_explored", "legs", "error"])
+            return out.assign(time_ms=(time.perf_counter() - began) * 1000 / len(b))[[c.split()[0] for c in _ROUTE.split(", ")]]
+
+        rows = requests.select("req_id", "ports", "penalty", "error")
+        if not rows.isStreaming:
+            legs = rows.agg(F.sum(F.greatest(F.size("ports") - 1, F.lit(1)))).first()[0] or 0
+            rows = rows.repartition(max(1, min(-(-legs // LEGS), 20_000))).sortWithinPartitions("penalty")
+        return rows.mapInPandas(run, _ROUTE)
 
 
 def graphs_rounded(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -93,12 +106,6 @@ def graphs_rounded(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
     return n, e.select("src", "dst", (F.col("weight10") / 10.0).alias("weight_km"))
 
 
-def features(routes: DataFrame) -> DataFrame:
-    """req_id, line, points of the three lines of every route without an error."""
-    lines = F.array(*[F.struct(F.lit(k).alias("line"), F.col(k).alias("points")) for k in ("raw", "los", "final")])
-    return routes.where("error is null").select("req_id", F.inline(lines))
-
-
 def to_geojson(routes: DataFrame) -> DataFrame:
     """req_id, value: a FeatureCollection of the lines as JSON, or {"error": ...}."""
     props = {"distanceKm": truncated(F.col("cost_km")), "nodesExplored": F.col("nodes_explored"), "timeMs": truncated(F.col("time_ms")), "legs": F.when(F.col("legs") > 1, F.col("legs"))}

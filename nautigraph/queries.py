@@ -175,15 +175,7 @@ def _land(spark, sf_dir) -> landindex.LandIndex:
 
 def _leaves(spark, sf_dir, land=None) -> DataFrame:
     """Leaves from all cells of depth 4 down to 6."""
-    land = land or _land(spark, sf_dir)
-    side = F.explode(F.sequence(F.lit(0), F.lit(2**_FROM - 1)))
-    level = spark.range(1).select(F.lit(_FROM).alias("depth"), side.alias("ix")).withColumn("iy", side)
-    out = []
-    for depth in range(_FROM, DEPTH + 1):
-        level = Q.classify(level, land, DEPTH).transform(cut)
-        out.append(level.where("type <> 'mixed'"))
-        level = Q.children(level.where("type = 'mixed'"))
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return Q.build(spark, land or _land(spark, sf_dir), DEPTH, _FROM)
 
 
 def _sql_level(depth: int, cells: str) -> str:
@@ -455,9 +447,11 @@ def _redrawn(lines: DataFrame, land: landindex.LandIndex, draw) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for conv, line in zip(b["conv_id"], b["line"]):
-                made = draw([(p["lon"], p["lat"]) for p in line], shared.value)
-                yield pd.DataFrame({"conv_id": conv, "seq": range(len(made)), "lon": [p[0] for p in made], "lat": [p[1] for p in made]})
+            made = routing.together([draw([(p["lon"], p["lat"]) for p in line]) for line in b["line"]], shared.value)
+            sizes = list(map(len, made))
+            flat = [p for line in made for p in line]
+            seq = [k for n in sizes for k in range(n)]
+            yield pd.DataFrame({"conv_id": b["conv_id"].repeat(sizes).to_numpy(), "seq": seq, "lon": [p[0] for p in flat], "lat": [p[1] for p in flat]})
 
     return lines.mapInPandas(run, "conv_id long, seq int, lon double, lat double")
 
@@ -471,13 +465,13 @@ SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY o) - 1 AS
 def smooth_open_water(spark, sf_dir):
     """One round of corner cutting with no land about."""
     none = landindex.build_index(X.rings(spark, sf_dir).limit(0), _runs(spark, sf_dir).limit(0), X.CELL)
-    made = _redrawn(_calls(spark, sf_dir), none, lambda line, land: routing.smooth(line, 1, land))
+    made = _redrawn(_calls(spark, sf_dir), none, lambda line: routing.smooth(line, 1))
     return made.select("conv_id", "seq", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
 @query()
 def smooth_coast(spark, sf_dir):
-    return _redrawn(_calls(spark, sf_dir), _land(spark, sf_dir), lambda line, land: routing.smooth(line, 2, land))
+    return _redrawn(_calls(spark, sf_dir), _land(spark, sf_dir), lambda line: routing.smooth(line, 2))
 
 
 @query()
@@ -485,9 +479,15 @@ def line_of_sight(spark, sf_dir):
     return _redrawn(_calls(spark, sf_dir), _land(spark, sf_dir), routing.by_sight)
 
 
+def _thinned(line):
+    """simplify() among the functions that may ask about land; it doesn't."""
+    yield from ()
+    return routing.simplify(routing.unwrap(line), 5.0)
+
+
 @query()
 def simplify_lines(spark, sf_dir):
-    return _redrawn(_calls(spark, sf_dir), _land(spark, sf_dir), lambda line, land: routing.simplify(routing.unwrap(line), 5.0))
+    return _redrawn(_calls(spark, sf_dir), _land(spark, sf_dir), _thinned)
 
 
 # ---- the whole engine over the derived world ----

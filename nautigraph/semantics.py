@@ -14,6 +14,7 @@ SAMPLE_SPACING = 0.25
 DEFAULT_DEPTH = 16
 COARSEN_EPS = 0.1
 EDGE_BAND = 0.0135
+EDGE_SHORTEST, EDGE_SAMPLES, EDGE_SHORT_KM, EDGE_STEP_SHORT_KM, EDGE_STEP_KM = 1e-10, 3, 3.0, 0.05, 0.5
 SEAM_EPS = 1e-6
 BRIDGE_NEIGHBOURS, BRIDGE_KM, BRIDGE_SHORE_KM, BRIDGE_STEP_KM = 6, 3000.0, 0.3, 2.0
 CANAL_NEIGHBOURS, CANAL_KM, CANAL_DEPTH = 5, 100.0, 1

@@ -7,18 +7,22 @@ import pytest
 from pyspark.sql import functions as F
 
 from nautigraph import semantics as S
+from nautigraph.functions.tiles import nearest_k
 from nautigraph.operators import graph as G
 from nautigraph.operators import land as L
 from nautigraph.operators import quadtree as Q
 from nautigraph.plans import routing
 from nautigraph.plans.engine import Engine, to_geojson
-from nautigraph.plans.landindex import build_index, haversine
+from nautigraph.plans.landindex import Boxes, build_index, haversine
 from nautigraph.sources import geojson, graphs, requests
 
-STRIP = [[-61.15, 35.9], [-61.05, 35.9], [-61.05, 36.1], [-61.15, 36.1], [-61.15, 35.9]]
-BOX = [[-60.6, 34.9], [-60.4, 34.9], [-60.4, 35.1], [-60.6, 35.1], [-60.6, 34.9]]
-SMALL = [[10.0, 10.0], [10.1, 10.0], [10.1, 10.1], [10.0, 10.1], [10.0, 10.0]]
-LARGE = [[50.0, 0.0], [56.0, 0.0], [56.0, 6.0], [50.0, 6.0], [50.0, 0.0]]
+def box(x0, y0, x1, y1):
+    return [[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]]
+
+
+#: Worlds of our own: a quay beside the western node, a shoal between the nodes, an islet and a continent.
+QUAY, SHOAL = box(19.3, -12.2, 19.4, -11.8), box(20.9, -12.4, 21.1, -11.9)
+SMALL, LARGE = box(-140.3, 30.0, -140.1, 30.2), box(70.0, -8.0, 77.0, -2.0)
 
 
 @pytest.fixture(scope="module")
@@ -38,40 +42,89 @@ def world(spark, tmp_path_factory):
 
 
 def two_nodes(spark):
-    nodes = spark.createDataFrame([(0, -61.0, 36.0, 1), (1, -60.0, 36.0, 1)], "node_id long, lon double, lat double, depth int")
-    return routing.load(nodes, spark.createDataFrame([(0, 1, 90.0)], "src long, dst long, weight_km double"))
-
-
-def test_ports_are_stitched_over_open_water(spark, world):
-    r = routing.itinerary(two_nodes(spark), world()[1], [(-61.2, 36.0), (-59.9, 36.0)], 8.0)
-    assert r["raw"][0] == pytest.approx((-61.2, 36.0), abs=1e-6) and r["raw"][-1] == pytest.approx((-59.9, 36.0), abs=1e-6)
-    assert int(r["cost_km"]) == 746 and r["explored"] == 1
-    assert [len(r[k]) for k in ("raw", "los", "final")] == [4, 2, 2]
-
-
-def test_connector_over_land_is_dropped(spark, world):
-    r = routing.itinerary(two_nodes(spark), world(STRIP)[1], [(-61.2, 36.0), (-59.9, 36.0)], 8.0)
-    assert r["raw"][0] == pytest.approx((-61.0, 36.0), abs=1e-9)
-    assert int(r["cost_km"]) == 728 and [len(r[k]) for k in ("raw", "los", "final")] == [3, 2, 2]
-
-
-def test_isolated_node_is_bridged(spark, world):
-    nodes = spark.createDataFrame([(0, -61.0, 36.0, 1), (1, -60.0, 36.0, 1), (2, -60.0, 35.0, 1), (3, -61.0, 35.0, 1)], "node_id long, lon double, lat double, depth int")
-    edges = spark.createDataFrame([(0, 1, 90.0), (1, 2, 90.0), (0, 2, 120.0)], "src long, dst long, weight_km double")
-    got = G.bridges(nodes, edges, world()[1]).collect()
-    assert len(got) == 1 and got[0]["src"] == 3
-
-
-def test_segment_is_clear_on_water_and_blocked_by_land(world):
-    assert world()[1].clear((-61.0, 35.0), (-60.0, 35.0), 2.0, 2.0, 2.0)
-    assert not world(BOX)[1].clear((-61.0, 35.0), (-60.0, 35.0), 2.0, 2.0, 2.0)
-
-
-def test_island_feature_is_found_for_small_rings_only(world):
+    nodes = spark.createDataFrame([(0, 20.0, -12.0, 1), (1, 22.0, -12.0, 1)], "node_id long, lon double, lat double, depth int")
+    return routing.load(nodes, spark.createDataFrame([(0, 1, 250.0)], "src long, dst long, weight_km double"))
+
+
+def test_route_between_two_nodes(spark, world):
+    """Everything by hand: 250 km at full penalty 3, connectors of 1 and 0.5 degrees of longitude at 12 degrees south."""
+    ports = [(19.0, -12.0), (22.5, -12.0)]
+    r = routing.itinerary(two_nodes(spark), world()[1], ports, 3.0)
+    west, east = (float(haversine(0.0, -12.0, d, -12.0)) for d in (1.0, 0.5))
+    assert r["cost_km"] == pytest.approx(750 + west + east, abs=1e-6) and r["explored"] == 1 and r["error"] is None
+    # the literal projection keeps all points of an east-west line; in open water the ends see each other
+    assert r["raw"] == [ports[0], (20.0, -12.0), (22.0, -12.0), ports[1]] and r["los"] == ports and r["final"] == ports
+    mended = routing.itinerary(two_nodes(spark), world()[1], ports, 3.0, S.Semantics(literal_projection=False))
+    assert mended["raw"] == ports
+    # a quay on the western connector: the route begins at the node instead
+    r = routing.itinerary(two_nodes(spark), world(QUAY)[1], ports, 3.0)
+    assert r["raw"][0] == (20.0, -12.0) and r["raw"][-1] == ports[1] and r["cost_km"] == pytest.approx(750 + east, abs=1e-6)
+    # ports at one node are joined by a straight line, at its true length
+    r = routing.itinerary(two_nodes(spark), world()[1], [(19.0, -12.0), (19.5, -11.0)], 3.0)
+    assert r["raw"] == [(19.0, -12.0), (19.5, -11.0)] and r["explored"] == 0 and r["cost_km"] == pytest.approx(float(haversine(19.0, -12.0, 19.5, -11.0)))
+
+
+def test_unreachable_nodes_give_errors(spark, world):
+    nodes = spark.createDataFrame([(k, float(x), 0.0, 1) for k, x in enumerate((0, 1, 40, 41))], "node_id long, lon double, lat double, depth int")
+    g = routing.load(nodes, spark.createDataFrame([(0, 1, 100.0), (2, 3, 100.0)], "src long, dst long, weight_km double"))
+    assert g.main.tolist() == [2, 3]  # of two equally large components that of the larger least node
+    g.main = np.arange(4)
+    g._index = None
+    assert routing.itinerary(g, world()[1], [(0.0, 0.0), (41.0, 0.0)])["error"] == "No route found"
+    r = routing.itinerary(g, world()[1], [(0.0, 0.0), (1.0, 0.0), (41.0, 0.0)])
+    assert r["error"] == "No route for leg 2" and r["raw"] == []
+
+
+def test_every_component_is_bridged_to_the_largest(spark, world):
+    """Three islands east of a main chain; the shoal lies on the shortest line of one of them."""
+    places = [(20.0, -12.0), (20.0, -13.0), (20.0, -14.0), (22.0, -12.0), (24.0, -14.0), (24.0, -14.5)]
+    nodes = spark.createDataFrame([(k, x, y, 1) for k, (x, y) in enumerate(places)], "node_id long, lon double, lat double, depth int")
+    edges = spark.createDataFrame([(0, 1, 111.0), (1, 2, 111.0), (4, 5, 55.0)], "src long, dst long, weight_km double")
+    of = lambda land: sorted((r["src"], r["dst"]) for r in G.bridges(nodes, edges, land).collect())
+    assert of(world()[1]) == [(3, 0), (4, 2)] and of(world(SHOAL)[1]) == [(3, 1), (4, 2)]
+
+
+def test_clear_lines_and_boxes(world):
+    sea, shoal = world()[1], world(SHOAL)[1]
+    lines = np.array([[20.0, -12.1, 22.0, -12.1], [20.0, -13.0, 22.0, -13.0], [20.9, -12.3, 21.0, -12.3], [20.0, -12.0, 20.0, -12.0]]).T
+    assert sea.clear(*lines, 2.0, 2.0, 2.0).all()
+    assert shoal.clear(*lines, 2.0, 2.0, 2.0).tolist() == [False, True, False, True]
+    assert shoal.clear(*lines, 2.0, 2.0, 2000.0).tolist() == [True, True, True, True]  # all but a stretch near its end is let off
     land = world(SMALL, LARGE)[1]
-    assert land.overlaps(9.5, 9.5, 10.5, 10.5, 1.0)
-    assert not land.overlaps(49, -1, 57, 7, 1.0) and not land.overlaps(-30, -30, -29, -29, 1.0)
-    assert land.overlaps(49, -1, 57, 7)
+    boxes = [np.array(v, float) for v in zip((-141, 29, -139, 31), (69, -9, 78, -1), (-30, -30, -29, -29), (72, -6, 73, -5), (-140.3, 20, -140.2, 30))]
+    assert land.overlaps(*boxes).tolist() == [True, True, False, True, True]
+    assert land._small.touched(*boxes).tolist() == [True, False, False, False, True]
+
+
+def test_boxes_equal_brute_force():
+    rng = np.random.default_rng(8)
+    for size, span in ((1.0, 3.0), (5.0, 40.0)):
+        low = rng.uniform(-90, 90, (300, 2))
+        boxes = np.concatenate([low, low + rng.uniform(0, span, (300, 2))], axis=1)
+        index = Boxes(boxes, size)
+        low = rng.uniform(-120, 120, (500, 2))
+        q = np.concatenate([low, low + rng.choice([0.0, 1.0, 30.0], (500, 1)) * rng.uniform(0, 1, (500, 2))], axis=1)
+        q[:20, :2] = boxes[:20, 2:]  # corners that touch
+        q[:20, 2:] = q[:20, :2]
+        hit = (boxes[:, 0] <= q[:, None, 2]) & (boxes[:, 2] >= q[:, None, 0]) & (boxes[:, 1] <= q[:, None, 3]) & (boxes[:, 3] >= q[:, None, 1])
+        assert index.touched(*q.T).tolist() == hit.any(axis=1).tolist()
+        assert set(zip(*map(np.ndarray.tolist, index.pairs(*q.T)))) == set(zip(*map(np.ndarray.tolist, np.nonzero(hit))))
+
+
+def test_nearest_nodes_equal_brute_force(spark):
+    """In memory and by tiles; nodes spread out, in one tile, on one spot, and fewer than asked for."""
+    rng = np.random.default_rng(4)
+    clouds = [rng.uniform((-180, -70), (180, 70), (400, 2)), rng.uniform((10.0, 10.0), (10.01, 10.01), (3000, 2)), np.full((30, 2), 5.0), rng.uniform(0, 1, (5, 2))]
+    points = np.concatenate([rng.uniform((-180, -80), (180, 80), (40, 2)), rng.uniform((9.9, 9.9), (10.1, 10.1), (10, 2)), [[5.0, 5.0]]])
+    for cloud in clouds:
+        ids = rng.permutation(len(cloud)) * 3
+        d2 = ((points[:, None] - cloud) ** 2).sum(axis=2)
+        want = {(p, r + 1, int(ids[j])) for p in range(len(points)) for r, j in enumerate(np.lexsort((ids, d2[p]))[:16])}
+        nodes = spark.createDataFrame([(int(i), float(x), float(y)) for i, (x, y) in zip(ids, cloud)], "node_id long, lon double, lat double")
+        asked = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(points)] + [(99, None, 1.0)], "k long, lon double, lat double")
+        for most in (10**6, 0):
+            got = nearest_k(asked, nodes, 16, "k", most)
+            assert {(r["k"], r["rk"], r["node_id"]) for r in got.collect()} == want
 
 
 def test_empty_land(spark, world):
@@ -81,7 +134,7 @@ def test_empty_land(spark, world):
 
 def test_multipolygon_holes_and_unknown_geometry(spark, tmp_path):
     doc = {"features": [
-        {"geometry": {"type": "MultiPolygon", "coordinates": [[LARGE, [[52, 2], [53, 2], [53, 3], [52, 2]]], [SMALL, [[1, 1], [2, 2]]]]}, "properties": {"x": 1}},
+        {"geometry": {"type": "MultiPolygon", "coordinates": [[LARGE, [[72, -6], [73, -6], [73, -5], [72, -6]]], [SMALL, [[1, 1], [2, 2]]]]}, "properties": {"x": 1}},
         {"geometry": {"type": "Point", "coordinates": [1, 2]}}, {"geometry": None},
     ]}
     (tmp_path / "l.json").write_text(json.dumps(doc))
@@ -91,16 +144,16 @@ def test_multipolygon_holes_and_unknown_geometry(spark, tmp_path):
 
 def test_hole_of_a_continent_counts_as_island(world):
     # inside the hole's ring: land; in its box but outside the ring: water
-    hole = [[52.0, 2.0], [54.0, 2.0], [54.0, 4.0], [52.0, 2.0]]
+    hole = [[72.0, -6.0], [74.0, -6.0], [74.0, -4.0], [72.0, -6.0]]
     land = world(LARGE, hole, cell=0.1)[1]
-    assert land.is_land_precise([53.5, 52.2, 51.0], [3.0, 3.8, 1.0]).tolist() == [True, False, True]
-    assert land.is_land([53.5], [3.0]).tolist() == [False]
+    assert land.is_land_precise([73.5, 72.2, 71.0], [-5.0, -4.2, -7.0]).tolist() == [True, False, True]
+    assert land.is_land([73.5], [-5.0]).tolist() == [False]
 
 
 def test_relational_tests_agree_with_the_index(spark, world):
-    table, land = world(SMALL, LARGE, BOX, cell=0.05)
+    table, land = world(SMALL, LARGE, SHOAL, cell=0.05)
     rng = np.random.default_rng(3)
-    pts = np.concatenate([rng.uniform((9.9, 9.9), (10.2, 10.2), (60, 2)), rng.uniform((49, -1), (57, 7), (80, 2)), rng.uniform((-61, 34.5), (-60, 35.5), (80, 2))])
+    pts = np.concatenate([rng.uniform((-140.4, 29.9), (-140.0, 30.3), (60, 2)), rng.uniform((69, -9), (78, -1), (80, 2)), rng.uniform((20.5, -13), (21.5, -11.5), (80, 2))])
     df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "k long, lon double, lat double")
     runs = L.raster_runs(L.ring_edges(table), 0.05).cache()
     coarse = {r["k"]: r["on_land"] for r in L.point_is_land(df, runs, 0.05).collect()}
@@ -178,10 +231,10 @@ def test_engine_end_to_end(spark, world, tmp_path):
     table, _ = world(SMALL, LARGE, cell=0.5)
     e = Engine.generate(table, 5, 0.5)
     assert e.nodes.count() > 46  # canals, and cells around the land
-    reqs = requests.multi(spark.createDataFrame([(1, '{"ports":[[45,3],[60,3]]}'), (2, '{"ports":[[170,0],[-170,5],[150,-20]]}'), (3, '{"ports":[[1,2]]}')], "req_id long, body string"))
+    reqs = requests.multi(spark.createDataFrame([(1, '{"ports":[[65,-5],[82,-5]]}'), (2, '{"ports":[[170,0],[-170,5],[150,-20]]}'), (3, '{"ports":[[1,2]]}')], "req_id long, body string"))
     rows = {r["req_id"]: r for r in e.routes(reqs).collect()}
     assert rows[1]["error"] is None and rows[2]["legs"] == 2 and rows[3]["error"] == "Need ≥2 ports"
-    assert (rows[1]["raw"][0]["lon"], rows[1]["raw"][-1]["lon"]) == (45.0, 60.0)
+    assert (rows[1]["raw"][0]["lon"], rows[1]["raw"][-1]["lon"]) == (65.0, 82.0)
     steps = np.diff([p["lon"] for p in rows[2]["raw"]])
     assert abs(steps).max() <= 180
     land = e.land
@@ -201,20 +254,20 @@ def test_stream_of_requests(spark, world, tmp_path):
     table, _ = world(SMALL, LARGE, cell=0.5)
     e = Engine.generate(table, 4, 0.5, canals=False)
     src = tmp_path / "in"
-    spark.createDataFrame([(1, '{"ports":[[45,3],[60,3]]}'), (2, "{}")], "req_id long, body string").write.json(str(src))
+    spark.createDataFrame([(1, '{"ports":[[65,-5],[82,-5]]}'), (2, "{}")], "req_id long, body string").write.json(str(src))
     q = answer(e, spark.readStream.schema("req_id long, body string").json(str(src)), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
 def test_flags_mend_odd_rules(spark, tmp_path):
-    doc = {"features": [{"geometry": {"type": "Polygon", "coordinates": [LARGE, [[52, 2], [54, 2], [54, 4], [52, 4], [52, 2]]]}}]}
+    doc = {"features": [{"geometry": {"type": "Polygon", "coordinates": [LARGE, box(72, -6, 74, -4)]}}]}
     (tmp_path / "l.json").write_text(json.dumps(doc))
     rings = geojson.land_rings(spark, str(tmp_path / "l.json")).cache()
     assert [r["is_hole"] for r in rings.orderBy("ring_id").collect()] == [False, True]
     literal = Engine.generate(rings, 3, 0.5, canals=False, coarsen=False).land
     mended = Engine.generate(rings, 3, 0.5, canals=False, coarsen=False, semantics=S.Semantics(holes_are_islands=False)).land
-    assert literal.is_land_precise([53.0], [3.0])[0] and not mended.is_land_precise([53.0], [3.0])[0]
+    assert literal.is_land_precise([73.0], [-5.0])[0] and not mended.is_land_precise([73.0], [-5.0])[0]
 
 
 def test_command_line(spark, tmp_path):
@@ -222,7 +275,7 @@ def test_command_line(spark, tmp_path):
 
     (tmp_path / "l.json").write_text(json.dumps({"features": [{"geometry": {"type": "Polygon", "coordinates": [LARGE]}}]}))
     assert main([]) == 2 and main(["generate", str(tmp_path / "l.json"), str(tmp_path / "g"), "3"]) == 0
-    (tmp_path / "r.json").write_text(json.dumps({"req_id": 1, "body": json.dumps({"ports": [[40, 3], [62, 3]]})}))
+    (tmp_path / "r.json").write_text(json.dumps({"req_id": 1, "body": json.dumps({"ports": [[60, -5], [85, -5]]})}))
     assert main(["routes", str(tmp_path / "g"), str(tmp_path / "l.json"), str(tmp_path / "r.json"), str(tmp_path / "a")]) == 0
     assert json.loads(spark.read.parquet(str(tmp_path / "a")).first()["value"])["type"] == "FeatureCollection"
 
