@@ -45,17 +45,20 @@ BOILER_WORDS = frozenset(
     "skip social sponsor sponsored subscribe subscription tags toolbar widget warning alert overlay".split()
 )
 COMMENT_WORDS = frozenset("comment comments commentlist discussion disqus reader replies reply respond responses".split())
+#: Parts that make a compound name tell of something else than its element: what a page has or how it stands.
+PREFIXES = frozenset("has have with without no not is are show hide js can tag tags category cat type format status layout page theme u l".split())
+STATES = frozenset("enabled disabled on off yes no true false active inactive open opened closed ready loaded supported allowed visible free less".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>")
-_NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 FEATURES = (
     "bias", "article", "main", "content_name", "boiler_name", "comment_name", "nav", "aside", "footer", "header", "header_in_article", "form", "list", "table",
-    "heading", "paragraph", "caption", "link_share", "all_link", "log_length", "short", "sentence_end", "copyright", "bare_body", "nearest_content", "nearest_boiler",
+    "heading", "paragraph", "caption", "link_share", "all_link", "log_length", "short", "sentence_end", "copyright", "bare_body", "nearest_content", "nearest_boiler", "boiler_part",
 )
 
 
@@ -67,7 +70,10 @@ class Node:
     depth: int
     container: int  # number of the nearest element that isn't a paragraph, heading or inline
     marks: frozenset = frozenset()
-    nearest: int = 0  # 1 or -1: what the innermost telling element says
+    nearest: float = 0  # 1, -1 or, for part of a name, -0.5: what the innermost telling element says
+    boiler: float = 0  # 1 within an element named as boilerplate, half as much with each telling element of content between
+    part: float = 0  # the same for parts of names
+    named: int = 0  # the element whose name's part that is
 
 
 @dataclass
@@ -139,7 +145,7 @@ def parse(page: str) -> list[tuple[Block, str]]:
         if not closing and tag in SKIPPED:
             if tag == "head":
                 continue  # what it may hold is skipped by itself
-            if not attrs.endswith("/"):
+            if tag != "svg" or not attrs.endswith("/"):  # a slash ends no other of these
                 at = _skip(page, tag, at, endless)
             if tag in ("textarea", "select", "iframe", "video", "audio"):
                 end_block()
@@ -165,9 +171,8 @@ def parse(page: str) -> list[tuple[Block, str]]:
                 pop_to(tag)
         parent = stack[-1]
         numbers += 1
-        marks, nearest = _read(tag, attrs, parent)
         plain = not inner or tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6")
-        stack.append(Node(tag, parent.depth + inner, parent.container if plain else numbers, marks, nearest))
+        stack.append(Node(tag, parent.depth + inner, parent.container if plain else numbers, *_read(tag, attrs, parent, numbers)))
         open_[tag] = open_.get(tag, 0) + 1
         links += tag == "a"
         if inner:
@@ -227,11 +232,30 @@ def _within(stack: list[Node], tag: str) -> bool:
     return False
 
 
-def _read(tag: str, attrs: str, parent: Node) -> tuple[frozenset, int]:
-    """Marks and nearest of a new element, from its tag and names and its parent's."""
+@lru_cache(10_000)
+def _told(name: str) -> str:
+    """What a class token or the like tells: comment, boiler, content, part (a compound with a boilerplate word) or nothing."""
+    parts = [w.lower() for w in _WORDS.findall(name)]
+    whole = "".join(parts)
+    for kind, words in (("comment", COMMENT_WORDS), ("boiler", BOILER_WORDS), ("content", CONTENT_WORDS)):
+        if whole in words:
+            return kind
+    if len(parts) < 2 or parts[0] in PREFIXES or parts[-1] in STATES:
+        return ""
+    if not COMMENT_WORDS.isdisjoint(parts):
+        return "comment"
+    boiler, content = (not words.isdisjoint(parts) for words in (BOILER_WORDS, CONTENT_WORDS))
+    if boiler and content:  # post-footer, footer-content, but not content-sidebar-wrap
+        return "part" if parts[-1] in BOILER_WORDS or parts[0] in BOILER_WORDS else ""
+    return "part" if boiler else "content" if content else ""
+
+
+def _read(tag: str, attrs: str, parent: Node, number: int) -> tuple[frozenset, float, float, float, int]:
+    """Marks, nearest, boiler, part and named of a new element, from its tag and names and its parent's."""
     new = set()
-    nearest = parent.nearest
-    if tag in ("article", "main"):
+    nearest, boiler, part, named = parent.nearest, parent.boiler, parent.part, parent.named
+    body = tag in ("article", "main")
+    if body:
         new.add(tag)
         nearest = 1
     elif tag in ("nav", "aside", "footer", "form", "menu", "dialog", "button", "fieldset", "search"):
@@ -250,29 +274,47 @@ def _read(tag: str, attrs: str, parent: Node) -> tuple[frozenset, int]:
         new.add("heading")
     elif tag in ("p", "blockquote", "pre"):
         new.add("paragraph")
+    told: set[str] = set()
     if attrs and tag != "body" and tag != "html":
-        words = {w.lower() for m in _NAMES.finditer(attrs) for w in _WORDS.findall(m[1])}
-        if words & COMMENT_WORDS:
-            new.add("comment_name")
-            nearest = -1
-        elif words & BOILER_WORDS:
-            new.add("boiler_name")
-            nearest = -1
-        elif words & CONTENT_WORDS:
-            new.add("content_name")
-            nearest = 1 if not parent.marks & {"comment_name"} else nearest
+        told = {_told(name) for m in _NAMES.finditer(attrs) for name in (m[1] or m[2] or m[3] or "").split()}
         if _HIDDEN.search(attrs):
-            new.add("boiler_name")
-            nearest = -1
-    return (parent.marks | new if new else parent.marks), nearest
+            told.add("boiler")
+    if "comment" in told:
+        new.add("comment_name")
+        nearest = -1
+    elif "boiler" in told:
+        nearest, boiler = -1, 1.0
+    elif body or "content" in told:
+        if "content" in told:
+            new.add("content_name")
+        nearest = 1 if body or "comment_name" not in parent.marks else nearest
+        boiler, part = (0.0, 0.0) if tag == "main" else (boiler / 2, part / 2)
+    elif "part" in told:
+        nearest, part, named = min(nearest, -0.5), 1.0, number
+    return (parent.marks | new if new else parent.marks), nearest, boiler, part, named
 
 
-def features(block: Block, text: str) -> np.ndarray:
-    m, n = block.node.marks, len(text)
+def features(blocks: list[tuple[Block, str]]) -> np.ndarray:
+    """A row for each block of a page.
+
+    A part of a name tells nothing where its element holds most of the page's text: that is a layout.
+    """
+    held: dict[int, int] = {}
+    for b, text in blocks:
+        held[b.node.named] = held.get(b.node.named, 0) + len(text)
+    half = sum(held.values()) / 2
+    return np.stack([_row(b, text, held[b.node.named] > half) for b, text in blocks])
+
+
+def _row(block: Block, text: str, layout: bool) -> np.ndarray:
+    node, n = block.node, len(text)
+    m, part, nearest = node.marks, node.part, node.nearest
+    if layout:
+        part, nearest = 0.0, 0.0 if nearest == -0.5 else nearest
     share = min(1.0, block.linked / max(1, sum(map(len, block.parts))))
     return np.array([
-        1.0, "article" in m, "main" in m, "content_name" in m, "boiler_name" in m, "comment_name" in m, "nav" in m, "aside" in m, "footer" in m, "header" in m, "header_in_article" in m, "form" in m, "list" in m, "table" in m,
-        "heading" in m, "paragraph" in m, "caption" in m, share, share > 0.9, np.log1p(n) / 5, n < 25, text[-1] in ".!?…:;\"”", "©" in text or text.lower().startswith("copyright"), block.node.container <= 2, block.node.nearest > 0, block.node.nearest < 0,
+        1.0, "article" in m, "main" in m, "content_name" in m, node.boiler, "comment_name" in m, "nav" in m, "aside" in m, "footer" in m, "header" in m, "header_in_article" in m, "form" in m, "list" in m, "table" in m,
+        "heading" in m, "paragraph" in m, "caption" in m, share, share > 0.9, np.log1p(n) / 5, n < 25, text[-1] in ".!?…:;\"”", "©" in text or text.lower().startswith("copyright"), node.container <= 2, nearest > 0, max(-nearest, 0), part,
     ], float)
 
 
@@ -282,7 +324,7 @@ def edges(blocks: list[tuple[Block, str]]) -> list[tuple[int, int, float]]:
     for k, (b, _) in enumerate(blocks):
         if k:
             a = blocks[k - 1][0].node
-            far = 0 if a.container == b.node.container else 1 + abs(a.depth - b.node.depth) + (a.nearest != b.node.nearest) * 2
+            far = 0 if a.container == b.node.container else 1 + abs(a.depth - b.node.depth) + ((a.nearest > 0) != (b.node.nearest > 0) or (a.nearest < 0) != (b.node.nearest < 0)) * 2
             out.append((k - 1, k, FOLLOW * 0.5**far))
         if (j := last.get(b.node.container)) is not None and j != k - 1:
             out.append((j, k, CONTAINER))
@@ -388,6 +430,13 @@ def _max_flow(nodes: list[int], u: list[float], near: list[dict[int, float]]) ->
             a = to[e]
 
 
+#: Names of layouts and states that hold words of boilerplate.
+MISLEADING = (
+    "layout has-sidebar", "wrap content-sidebar-wrap", "no-ads", "page with-footer", "post tags-news share-enabled", "entry category-advertising", "container sidebar-left",
+    "js-nav-open", "grid header-fixed", "comments-open", "post type-post format-banner", "site cookie-ready", "story share-on", "is-menu-closed", "body-with-banner",
+)
+
+
 def sample_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[bool]]]:
     """Pages with the label of each of their blocks, written from a seed: several layouts with and without telling markup."""
     r = random.Random(seed)
@@ -413,14 +462,19 @@ def sample_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[bool]]]:
         extras = (
             lambda: put(f'<div class="{r.choice(("ad", "ads", "banner", "advert", "sponsored"))}">{sentence(r.randint(3, 14))}</div>', False),
             lambda: put(f"<aside><p>{sentence(r.randint(4, 20))}</p></aside>", False),
-            lambda: put(f'<div class="{r.choice(("sidebar", "related", "widget"))}"><p>{sentence(r.randint(4, 20))}</p></div>', False),
+            lambda: put(f'<div class="{r.choice(("sidebar", "related", "widget", "left-sidebar", "sidebar-right", "related-posts"))}"><p>{sentence(r.randint(4, 20))}</p></div>', False),
             lambda: put(f'<div class="{r.choice(("cookie-notice", "consent", "notice", "popup"))}"><p>{sentence(r.randint(5, 20))}</p></div>', False),
             lambda: put(f"<form><label>{word()}</label><button>{word()}</button></form>", False, 2),
         )
         for _ in range(r.randint(0, 2)):
             r.choice(extras)()
         tag = r.choice(("article", "article", "main", 'div class="content"', 'div id="post"', "div", "section"))
-        parts.append(f"<{tag}>")
+        if wrapped := r.random() < 0.4:  # names around the article that say nothing of it
+            parts.append(f'<div class="{r.choice(MISLEADING)}">')
+        if r.random() < 0.3 and " " not in tag:
+            parts.append(f'<{tag} class="{r.choice(MISLEADING)}">')
+        else:
+            parts.append(f"<{tag}>")
         put(f"<h1>{sentence(r.randint(2, 8))}</h1>", True)
         for _ in range(r.randint(1, 9)):
             kind = r.random()
@@ -434,7 +488,7 @@ def sample_pages(n: int = 240, seed: int = 11) -> list[tuple[str, list[bool]]]:
                 put(f'<p><a href="/x">{sentence(6)}</a> {sentence(5)}</p>', True)
             else:
                 r.choice(extras)()
-        parts.append(f"</{tag.split()[0]}>")
+        parts.append(f"</{tag.split()[0]}>" + "</div>" * wrapped)
         if r.random() < 0.4:
             k = r.randint(1, 5)
             put(f'<{r.choice(("section", "div"))} class="{r.choice(("comments", "comment-list", "replies"))}">' + "".join(f"<p>{sentence(r.randint(3, 25))}</p>" for _ in range(k)) + "</section>", False, k)
@@ -454,7 +508,7 @@ def trained() -> np.ndarray:
         blocks = parse(page)
         if len(blocks) != len(labels):
             raise AssertionError("sample pages and parser disagree")
-        x += [features(*b) for b in blocks]
+        x += list(features(blocks))
         y += labels
     x, y = np.stack(x), np.array(y, float)
     w = np.zeros(x.shape[1])
@@ -475,7 +529,7 @@ def main_text(page: str | None, weights: np.ndarray) -> str:
     blocks = parse(page or "")
     if not blocks:
         return ""
-    odds = (np.stack([features(*b) for b in blocks]) @ weights).tolist()
+    odds = (features(blocks) @ weights).tolist()
     keep = min_cut(odds, edges(blocks))
     return " ".join(t for (_, t), k in zip(blocks, keep) if k)
 

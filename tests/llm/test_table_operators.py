@@ -179,7 +179,7 @@ def test_classifier_on_new_pages():
     wrong = 0
     for page, labels in extract.sample_pages(200, 77):
         blocks = extract.parse(page)
-        wrong += extract.min_cut((np.stack([extract.features(*b) for b in blocks]) @ w).tolist(), extract.edges(blocks)) != labels
+        wrong += extract.min_cut((extract.features(blocks) @ w).tolist(), extract.edges(blocks)) != labels
     assert wrong <= 6
 
 
@@ -347,3 +347,42 @@ def test_query_equals_sql(spark, sf, name):
     assert sorted(got.columns) == sorted(want.columns)
     rows = lambda df: sorted(map(str, df[sorted(df.columns)].astype(object).where(df[sorted(df.columns)].notna(), None).values.tolist()))
     assert rows(got) == rows(want)
+
+
+STORY = "The harbour was quiet that morning, and nobody had come.", "Then three ships arrived, one after another, and the quay filled with people."
+BODY = "".join(f"<p>{p}</p>" for p in STORY)
+MENU = '<ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li><li><a href="/c">Ships</a></li></ul>'
+LAYOUTS = (
+    f'<div class="layout has-sidebar">{BODY}</div>',
+    f'<article class="post tags-news share-enabled">{BODY}</article>',
+    f'<div class="layout has-sidebar">{BODY}<div class="sidebar">{MENU}</div></div>',
+    f'<div class="container sidebar-right">{BODY}</div>',
+    f'<div class="container sidebar-right"><main>{BODY}</main><div class="sidebar">{MENU}</div></div>',
+    f'<div class="content-sidebar-wrap"><div class="entry">{BODY}</div></div>',
+    f'<div class="no-ads"><article>{BODY}</article></div>',
+    f'<div class="page with-footer">{BODY}</div><footer>Imprint</footer>',
+    f'<div class="js-nav-open"><nav>{MENU}</nav><section>{BODY}</section></div>',
+    f'<section class="entry category-advertising">{BODY}</section>',
+    f'<div class="header-fixed"><article>{BODY}</article></div>',
+    f'<article class="comments-open">{BODY}</article>',
+    f'<article class="story related-on">{BODY}</article><div class="related"><p>Read this next.</p></div>',
+    f'<main class="has-banner"><div class="banner">Buy boats now</div>{BODY}</main>',
+    f'<div id="main-menu">{MENU}</div><div id="page-with-menu">{BODY}</div>',
+    f"<div class='is-popup-closed'>{BODY}</div><div class='popup'><p>Subscribe to our letter today.</p></div>",
+    f"<div class=layout-sidebar>{BODY}</div>",
+    f'<div class="widget-free">{BODY}</div>',
+    f'<article class="post type-post format-promo">{BODY}</article><section class="comments"><article class="comment"><p>Great read, thanks a lot for it.</p></article></section>',
+    f'<div class="theme-overlay"><div class="post-content">{BODY}</div><div class="post-footer">Shared by many</div></div>',
+    f'<script src="a.js"/>var leak=1;</script><div>{BODY}</div><style/>p {{color: red}}</style>',
+    f'<title/>A title</title><div>{BODY}</div>',
+)
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_names_of_layouts_and_states_do_not_drop_the_article(layout):
+    assert extract.main_text(f"<html><body>{layout}</body></html>", extract.trained()) == " ".join(STORY)
+
+
+def test_what_names_tell():
+    told = {"sidebar": "boiler", "leftSidebar": "part", "post-footer": "part", "footer-content": "part", "mainContent": "content", "entry-content": "content", "comment-list": "comment", "has-sidebar": "", "comments-open": "", "content-sidebar-wrap": "", "x1": "", "": ""}
+    assert {name: extract._told(name) for name in told} == told
