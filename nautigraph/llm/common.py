@@ -37,17 +37,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted when the driver's Python ends."""
     path = f"{shared_dir(spark)}/nautigraph-{name}-{uuid.uuid4().hex}"
     atexit.register(remove, spark, path)
-    _SCRATCH.append(path)
     return path
 
 
-_SCRATCH: list[str] = []
+def filesystem(path: str):
+    """(pyarrow file system, path on it) of a URI, for files that tasks read and write themselves."""
+    from pyarrow import fs
 
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete every scratch path of this process now: for long sessions, once results are written."""
-    while _SCRATCH:
-        remove(spark, _SCRATCH.pop())
+    return fs.FileSystem.from_uri(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

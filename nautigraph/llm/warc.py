@@ -27,10 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, map_rows, scratch, written
+from .common import filesystem, join_counted, map_rows, scratch, written
 
 #: Lines in a compressed block, and lines in a shard.
 BLOCK_LINES, SHARD_LINES = 512, 100_000
+#: Records, and bytes of them as they lie in archives, that a task reads.
+READ_RECORDS, READ_BYTES = 4096, 64_000_000
 DATE = "2024-01-01T00:00:00Z"
 _URN = "urn:page:"
 
@@ -52,12 +54,6 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _filesystem(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
 def _uri_name(page_id: int | None) -> str:
     return f"<{_URN}{'-' if page_id is None else page_id}>"
 
@@ -140,7 +136,7 @@ def write(pages: DataFrame, min_bytes: int = 0) -> Archive:
     root = scratch(spark, "warc")
 
     def archive(rows: Iterator[tuple]) -> Iterator[tuple]:
-        fs, top = _filesystem(root)
+        fs, top = filesystem(root)
         out, name, at = None, f"{uuid.uuid4().hex}.warc.gz", 0
         try:
             for digest, page_id, url, body, keeper in rows:
@@ -165,7 +161,7 @@ def _index(lines: DataFrame, root: str) -> list[tuple[str, str, int, int]]:
     n = max(1, -(-lines.count() // SHARD_LINES))
 
     def shard(rows: Iterator[tuple]) -> Iterator[tuple]:
-        fs, top = _filesystem(root)
+        fs, top = filesystem(root)
         first = next(rows, None)
         if first is None:
             return
@@ -198,7 +194,7 @@ class Shard:
     """An open shard: its directory, and the block read last."""
 
     def __init__(self, root: str, name: str, at: int, length: int):
-        fs, top = _filesystem(root)
+        fs, top = filesystem(root)
         self._file = fs.open_input_file(f"{top}/{name}")
         self.directory = json.loads(_gunzip(self._file.read_at(length, at)))
         self._first = [d[0] for d in self.directory]
@@ -273,7 +269,7 @@ def read(places: DataFrame, archive: Archive) -> DataFrame:
     root = archive.root
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
-        fs, top = _filesystem(root)
+        fs, top = filesystem(root)
         name, file = None, None
         for f, offset, length in rows:
             if f != name:
@@ -289,8 +285,11 @@ def read(places: DataFrame, archive: Archive) -> DataFrame:
         if file:
             file.close()
 
-    # a task reads its archives front to back; more tasks than archives would only open them again
-    ordered = places.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    # places are few bytes and much to read: they are dealt out by what is to be read, each stretch of an archive to one task
+    n, size = archive.lines.agg(F.count("*"), F.sum("length")).first()
+    tasks = min(max(1, -(-n // READ_RECORDS), -(-(size or 0) // READ_BYTES)), 20_000)
+    stretch = F.floor(F.col("offset") / F.lit(max(1, (size or 0) // (4 * tasks)))) if tasks > 1 else F.lit(0)
+    ordered = places.select("file", "offset", "length").repartition(tasks, "file", stretch).sortWithinPartitions("file", "offset")
     schema = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
     return map_rows(ordered, schema, run)
 

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nautigraph.llm import components, extract, mixing, neardup, vafile, warc
-from nautigraph.llm.common import table
+from nautigraph.llm.common import filesystem, table
 from tests.llm.data import SCHEMA, awkward, empty, words
 
 
@@ -152,7 +152,7 @@ def test_lookup_and_records(spark):
     assert set(got) == {1, 7} and bytes(got[7]["payload"]).decode() == rows[4][2] and got[7]["url"] == "http://www.Q.com:80/é?q#f"
     assert got[1]["record_type"] == "response"  # shorter than min_bytes
     place = warc.lookup(keys, archive).where("page_id = 7").first()
-    fs, top = warc._filesystem(archive.root)
+    fs, top = filesystem(archive.root)
     with fs.open_input_file(f"{top}/{place['file']}") as f:
         raw = gzip.decompress(f.read_at(place["length"], place["offset"]))
     assert raw.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and raw.endswith(b"\r\n\r\n")
@@ -223,10 +223,11 @@ def test_formulas_stay_and_unclosed_graphics_end_at_the_next_block():
     assert texts("<video><p>kept</p>") == ["kept"] and texts("<p>a<script>no <p>no</p>") == ["a"]
 
 
-@pytest.mark.parametrize("block,query", [(16384, 4096), (9, 3)])
-def test_search_equals_all_scores(spark, monkeypatch, block, query):
+@pytest.mark.parametrize("block,query,group", [(16384, 4096, 16), (9, 3, 16), (9, 2, 2)])
+def test_search_equals_all_scores(spark, monkeypatch, block, query, group):
     monkeypatch.setattr(vafile, "BLOCK", block)
     monkeypatch.setattr(vafile, "QUERY_BLOCK", query)
+    monkeypatch.setattr(vafile, "GROUP", group)
     rnd = np.random.default_rng(1)
     rows = [(i, [float(x) for x in np.float32(rnd.normal(size=5))]) for i in range(90)]
     rows += [(200 + i, [0.5, 0.25, 0.0, -0.5, 0.125]) for i in range(30)]  # ties
@@ -238,6 +239,9 @@ def test_search_equals_all_scores(spark, monkeypatch, block, query):
     got = vafile.top_k(df.where("vec_id <> 402 or vec_id is null"), 20, 20).collect()
     assert Counter(tuple(r) for r in got) == plain_top(small, 20, 20)
     assert vafile.top_k(df.limit(0)).count() == 0
+    # components and scores that 64 bits don't hold end at their limits
+    huge = spark.createDataFrame([(0, [3e17, 0.0]), (1, [3e17, 0.0]), (2, [-3e17, 0.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    assert [(r["vec_id"], r["score"]) for r in vafile.top_k(huge, 20, 20).orderBy("rank").collect()] == [(1, 2**63 - 1), (3, 2**63 - 1), (2, -(2**63))]
 
 
 def test_bounds_hold():
