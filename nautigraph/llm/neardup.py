@@ -7,10 +7,14 @@ of a coordinate is its minhash; two texts agree in a coordinate with the probabi
 similarity.  A text needs about k (ln k + 2) darts, however long it is: later arrivals are never looked at.
 
 Coordinates make bands, and texts that share a band's values share a bucket.  Pairs within buckets are not
-spelled out.  Each bucket's most connected text is its centre; every other text is compared with it exactly.
-Components of the links found come next.  What remains are a centre's members outside its component: they
-are held against all its members in blocks, exactly too, through an index of how sets differ.  So within the
-candidates of the bands no link is lost, and no step makes more rows than there are texts in buckets.
+spelled out.  Each bucket's most connected text is its centre; every other text is compared with it exactly, a
+large centre's members in slices.  Components of the links found come next.  What remains are a centre's members
+outside its component: they are held against all its members in blocks, exactly too, through an index of how sets
+differ.  So within the candidates of the bands no link is lost.  Until then no step makes more rows than there are
+texts in buckets; of a centre with m members, o of them outside, the blocks hold m * o / MEMBERS copies of texts at most
+beside the m + o themselves.
+
+Texts go by a 64-bit hash.  Where two different texts share one, which a second hash tells, both get others.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import _arrow_schema, join_counted, map_rows, slices, splitmix, unit, written
@@ -34,6 +38,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: At a similarity of 0.8 a pair shares no band with a chance of 1.5e-5, at 0.85 of 8e-8.
 BANDS, ROWS = 28, 5
+#: Texts, and characters of text, in a block or slice of a centre's members.
+MEMBERS, CHARACTERS = 256, 2_000_000
 #: Shingles, and texts, that are sketched together.
 TOGETHER, TEXTS = 150_000, 256
 _WORD = re.compile(r"\w+")
@@ -166,12 +172,30 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weight: str
     return docs.select("node", "text").mapInArrow(run, "node long, bands array<long>").groupBy("node").agg(F.first("bands").alias("bands"))
 
 
-def _noded(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
+def _hashes() -> tuple[Column, Column]:
+    text = F.coalesce("text", F.lit(""))
+    return F.xxhash64(text).alias("node"), F.xxhash64(F.lit(1), text).alias("other")
+
+
+def _clashes(hashed: DataFrame) -> DataFrame | None:
+    """The values of node that stand for several values of other; None if there are none, as it nearly always is."""
+    out = written(hashed.groupBy("node").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low <> high").select(F.col("node").alias("clash")), "near-clashes")
+    return out if out.limit(1).count() else None
+
+
+def _told_apart(rows: DataFrame, clash: DataFrame | None) -> DataFrame:
+    """rows (node, other, ...) with a node of its own for every text, without other."""
+    if clash is not None:
+        rows = join_counted(rows, clash, F.col("node") == F.col("clash"), "left")
+        rows = rows.withColumn("node", F.when(F.col("clash").isNotNull(), F.xxhash64(F.lit(2), "node", "other")).otherwise(F.col("node"))).drop("clash")
+    return rows.drop("other")
 
 
 def compared(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """a, b, similarity of pairs(a, b) of nodes, by their whole sets of shingles."""
+    """a, b, similarity of pairs(a, b) of nodes, by their whole sets of shingles; pairs is a written table.
+
+    An a of many pairs gets several copies of its text, one for each MEMBERS of them, so none fills a task.
+    """
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         known: dict[int, np.ndarray] = {}
@@ -184,11 +208,14 @@ def compared(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE) -> Data
             return s
 
         for a, b, x, y in rows:
-            yield a, b, similarity(of(a, x), of(b, y))
+            yield a, b, similarity(of(a, x), shingles(y, shingle)[0])
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
+    slices = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("slices"))
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("x")).join(slices, "a")
+    left = left.select("a", "x", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "x", "y")
+    sliced = pairs.select("a", "b").join(slices, "a").select("a", "b", F.pmod(F.xxhash64("b"), "slices").cast("int").alias("slice"))
+    both = sliced.join(right, "b").join(left, ["a", "slice"]).select("a", "b", "x", "y")
     return map_rows(both, "a long, b long, similarity double", run)
 
 
@@ -199,9 +226,8 @@ def _texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(found.groupBy("node").agg(F.first("text").alias("text")), "near-texts")
 
 
-def links(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weight: str = "presence", least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """a, b, similarity: links of at least `least` that hold every component of near-duplicate texts together."""
-    noded = _noded(docs)
+def links(noded: DataFrame, bands: int = BANDS, rows: int = ROWS, weight: str = "presence", least: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """a, b, similarity: links of at least `least` that hold every component of near-duplicate texts (node, text) together."""
     sketch = written(sketches(noded, bands, rows, weight, shingle), "near-sketches")
     spread = sketch.select("node", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
@@ -220,10 +246,6 @@ def links(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weight: str = "
     return written(good.unionByName(second), "near-links")
 
 
-#: Texts, and characters of text, in a block of a centre's members.
-MEMBERS, CHARACTERS = 256, 2_000_000
-
-
 def _among_members(first: DataFrame, root: DataFrame, texts: DataFrame, least: float, shingle: int) -> DataFrame:
     """a, b, similarity: links between members of a centre (a, b of `first`) that its component doesn't hold.
 
@@ -305,12 +327,19 @@ def classes(docs: DataFrame, **options) -> DataFrame:
     than five words has one shingle of all its words; one without words is linked with its equals only.
     Ids may be null or repeat: a class without any id has a null class_id.  An empty table gives no rows.
     """
-    rows = written(_noded(docs).drop("text"), "near-rows")
-    root = components(links(docs, **options).select("a", "b"))
+    return _classified(docs, **options)[0]
+
+
+def _classified(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame | None]:
+    """classes(), and the hashes that several texts share."""
+    hashed = written(docs.select("doc_id", *_hashes()), "near-rows")
+    clash = _clashes(hashed)
+    rows = _told_apart(hashed, clash)
+    root = components(links(_told_apart(docs.select(*_hashes(), "text"), clash), **options).select("a", "b"))
     rooted = rows.join(root, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     # a table of its own, so that the join deals out both sides and can split a large class
     least = written(rooted.groupBy("root").agg(F.min("doc_id").alias("class_id")), "near-least")
-    return rooted.join(least, "root").select("doc_id", "node", "class_id", "root")
+    return rooted.join(least, "root").select("doc_id", "node", "class_id", "root"), clash
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -319,18 +348,21 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each class: that of the least doc_id (null last), all columns kept."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    found = written(classes(docs, **options), "near-classes")
+    """docs with one row of each class, all columns kept: that of the least doc_id (null last).
+
+    Of rows equal in doc_id and text that of the least hash of all columns stays; rows of one hash are equal.
+    """
+    found, clash = _classified(docs, **options)
+    found = written(found, "near-classes")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "node")
     kept = written(found.groupBy("root").agg(F.min(order).alias("k")).select("root", "k.doc_id", "k.node"), "near-kept")
-    # rows to drop are fewer than rows to keep; of rows equal in id and text the first one seen stays
+    # rows to drop are fewer than rows to keep
     same = [F.col("f.root") == F.col("k.root"), F.col("f.node") == F.col("k.node"), F.col("f.doc_id").eqNullSafe(F.col("k.doc_id"))]
     drop = found.alias("f").join(kept.alias("k"), same, "left_anti").select(F.col("doc_id").alias("drop_id"), F.col("node").alias("drop_node")).distinct()
     drop = written(drop, "near-drop")
-    held = docs.select(F.struct(*columns).alias("row_"), F.col("doc_id").alias("id_"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("node_"))
-    on = (F.col("node_") == F.col("drop_node")) & F.col("id_").eqNullSafe(F.col("drop_id"))
-    out = join_counted(held, drop, on, "left_anti")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.col("doc_id").alias("id_"), *_hashes())
+    out = join_counted(_told_apart(held, clash), drop, (F.col("node") == F.col("drop_node")) & F.col("id_").eqNullSafe(F.col("drop_id")), "left_anti")
     if found.groupBy("doc_id", "node").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["id_", "node_"])
+        least = F.struct(F.xxhash64("row_"), F.xxhash64(F.lit(1), "row_"))
+        out = out.groupBy("id_", "node").agg(F.min_by("row_", least).alias("row_"))  # combined before it is shuffled
     return out.select("row_.*")
