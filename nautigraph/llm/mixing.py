@@ -19,10 +19,10 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_counted, written
 
 #: Source weights by rank, repeating; most times that a source may be repeated; documents in a bucket.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -30,8 +30,8 @@ REPEAT = 3.0
 BUCKET = 4096
 #: Smallest documents of a bucket that stay out of its flight: they go up with those left over and fit the landing's total.
 SPARE = 32
-#: Sources of a mix at most: it is stated source by source, so the driver holds their totals.
-MAX_SOURCES = 100_000
+#: Sources whose targets the driver works out; those of more are worked out in jobs, to the same rule.
+FEW_SOURCES = 100_000
 SIZE = r"[^\x20\x09-\x0D]+"
 _EPS = 1e-9
 
@@ -54,6 +54,31 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
     return out
 
 
+def _targets_in_jobs(sizes: DataFrame, weights: tuple[float, ...], repeat: float) -> DataFrame:
+    """source, size, n, rank, target of sizes (source, size, n), by targets()'s rule, for any number of sources.
+
+    Ranks come from ranges of the sorted sources.  A source is cut off once the share of a unit of weight passes its
+    limit; the share only rises, so each round needs just the sums of those that are over and of those that aren't.
+    """
+    order = [F.col("source").isNull(), "source"]
+    ranged = sizes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id())
+    ranged = written(ranged, "mix-sources")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = ranged.groupBy("part").agg(F.count("*").alias("c"), F.min("nth").alias("low")).withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    ranked = ranged.join(F.broadcast(starts.select("part", "low", "before")), "part").withColumn("rank", F.col("before") + F.col("nth") - F.col("low"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    ranked = written(ranked.select("source", "size", "n", "rank", weight.alias("weight")), "mix-ranks")
+    total = float(ranked.agg(F.sum("size")).first()[0] or 0)
+    limit, share, count = F.lit(repeat) * F.col("size"), 0.0, -1
+    while True:
+        over = F.lit(False) if count < 0 else F.lit(share) * F.col("weight") > limit
+        cut, kept, n = ranked.agg(F.sum(F.when(over, limit)), F.sum(F.when(~over, F.col("weight"))), F.count_if(over)).first()
+        if n == count or not kept:
+            break
+        count, share = n, (total - (cut or 0.0)) / kept
+    return ranked.select("source", "size", "n", "rank", F.least(F.lit(share) * F.col("weight"), limit).alias("target"))
+
+
 def settle_large(p: np.ndarray, size: np.ndarray, rnd: random.Random) -> None:
     """Decide on the largest fiftieth one by one, each step moving all other undecided documents a little.
 
@@ -126,7 +151,7 @@ def _move(p: list[float], at: list[int], u: Iterable[float], rnd: random.Random)
 
 def _round(level: int, last: bool):
     def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["key", "doc_id", "size"], kind="stable", na_position="last")
+        rows = rows.sort_values(["key", "doc_id", "size", "nth"], kind="stable", na_position="last")
         rnd = random.Random(f"{level}|{rows['rank'].iloc[0]}|{rows['bucket'].iloc[0]}")
         start, size = rows["p"].to_numpy(float).copy(), rows["size"].to_numpy(float)
         settle_large(start, size, rnd)
@@ -151,61 +176,67 @@ def _round(level: int, last: bool):
     return decide
 
 
-_ROW = "doc_id long, key long, size long, rank int, source_size long, target double, whole int, p double, bucket long"
+_ROW = "doc_id long, key long, size long, nth long, rank long, source_size long, target double, whole int, p double, buckets long, bucket long"
+
+
+def _repeated(n: Column) -> Column:
+    """An array of arrays of the numbers from 0 to n - 1, none of them long."""
+    some = F.lit(1 << 12)
+    return F.transform(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / some)), lambda k: F.sequence(k * some, F.least(k * some + some, n) - 1))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeat: float = REPEAT) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeat: float = REPEAT, columns: list[str] | None = None) -> DataFrame:
     """doc_id, key, size, source_size, target, copies, taken of every row of docs.
 
     size counts runs of characters other than white space (null text: 0); taken is copies times size.  A null
     source is a source of its own, last in order.  A source whose texts are all empty has target 0 and its
-    documents are not taken.  Equal rows may be taken a different number of times; which of them is which is
-    of no account.  An empty table gives no rows.  `key` is a hash of doc_id and text.
+    documents are not taken.  `key` is a hash of `columns`, doc_id and text unless told otherwise.  Rows equal in
+    doc_id, key, size and source are counted, then numbered, so many of them fall into many buckets; they may be
+    taken a different number of times, and which of them is which is of no account.  An empty table gives no rows.
     """
+    spark = docs.sparkSession
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64("doc_id", "text").alias("key"),
+        F.xxhash64(*[F.col(f"`{c}`") for c in columns or ["doc_id", "text"]]).alias("key"),
         F.coalesce(F.regexp_count("text", F.lit(SIZE)), F.lit(0)).cast("long").alias("size"),
         F.col("source").cast("string").alias("source"),
     )
-    rows = written(rows, "mix-rows")
-    totals = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    wanted = targets({r["source"]: r["size"] for r in totals}, weights, repeat)
-    plan = []
-    for rank, r in enumerate(sorted(totals, key=lambda r: (r["source"] is None, r["source"] or ""))):
-        mean = wanted[r["source"]] / r["size"] if r["size"] else 0.0
-        whole = min(int(mean + _EPS), int(repeat))
-        part = mean - whole
-        plan.append((r["source"], rank, r["size"], wanted[r["source"]], whole, part if part > _EPS else 0.0, -(-r["n"] // BUCKET)))
-    spark = docs.sparkSession
-    by_source = spark.createDataFrame(plan, "source string, rank int, source_size long, target double, whole int, p double, buckets long")
-    level, most = 1, {r[1]: r[6] for r in plan}
-    here = rows.join(F.broadcast(by_source.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s", "source")
-    here = here.withColumn("bucket", F.pmod(F.xxhash64("key", "size"), "buckets")).drop("buckets")
+    rows = written(rows.groupBy("doc_id", "key", "size", "source").agg(F.count("*").alias("equal")), "mix-rows")
+    totals = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("equal")).alias("size"), F.sum("equal").alias("n"))
+    few = totals.limit(FEW_SOURCES + 1).collect()
+    if len(few) <= FEW_SOURCES:
+        wanted = targets({r["source"]: r["size"] for r in few}, weights, repeat)
+        ranked = [(r["source"], r["size"], r["n"], rank, wanted[r["source"]]) for rank, r in enumerate(sorted(few, key=lambda r: (r["source"] is None, r["source"] or "")))]
+        by_source = spark.createDataFrame(ranked, "source string, size long, n long, rank long, target double")
+    else:
+        by_source = _targets_in_jobs(written(totals, "mix-totals"), weights, repeat)
+    mean = F.when(F.col("size") > 0, F.col("target") / F.col("size")).otherwise(0.0)
+    whole = F.least(F.floor(mean + _EPS), F.floor(F.lit(repeat))).cast("int")
+    part = mean - whole
+    plan = by_source.select(F.col("source").alias("s"), "rank", F.col("size").alias("source_size"), "target", whole.alias("whole"), F.when(part > _EPS, part).otherwise(0.0).alias("p"), F.ceil(F.col("n") / BUCKET).alias("buckets"))
+    plan = written(plan, "mix-plan")
+    most = plan.agg(F.max("buckets")).first()[0] or 1
+    here = join_counted(rows, plan, F.col("source").eqNullSafe(F.col("s")), "inner", FEW_SOURCES)
+    here = here.withColumn("nth", F.explode(_repeated(F.col("equal")))).withColumn("nth", F.explode("nth"))
+    bucket = F.pmod(F.xxhash64("key", "size", "nth"), "buckets")
+    names = [c.split()[0] for c in _ROW.split(", ")]
+    here = here.withColumn("bucket", bucket).select(*names)
     fixed = [here.where(f"p <= {_EPS}")]
     here = here.where(f"p > {_EPS}")
+    level = 1
     while True:
-        last = max(most.values(), default=1) <= 1
-        columns = [c.split()[0] for c in _ROW.split(", ")]
-        here = here.select(*columns).groupBy("rank", "bucket").applyInPandas(_round(level, last), _ROW)
+        last = most <= 1
+        here = here.groupBy("rank", "bucket").applyInPandas(_round(level, last), _ROW)
         if last:
             break
         here = written(here, f"mix-level{level}")
         undecided = f"p > {_EPS} and p < 1 - {_EPS}"
         fixed.append(here.where(f"not ({undecided})"))
-        most = {k: -(-(SPARE + 2) * b // BUCKET) for k, b in most.items()}
-        level += 1
-        counts = F.create_map(*[F.lit(x) for kv in most.items() for x in kv]) if len(most) <= 1000 else None
-        if counts is not None:
-            buckets = F.element_at(counts, F.col("rank"))
-            here = here.where(undecided).withColumn("bucket", F.pmod(F.xxhash64("key", "size"), buckets))
-        else:
-            by_rank = F.broadcast(spark.createDataFrame(list(most.items()), "rank int, buckets long"))
-            here = here.where(undecided).join(by_rank, "rank").withColumn("bucket", F.pmod(F.xxhash64("key", "size"), "buckets")).drop("buckets")
+        fewer = lambda b: -(-(SPARE + 2) * b // BUCKET)
+        most, level = fewer(most), level + 1
+        here = here.where(undecided).withColumn("buckets", F.ceil((SPARE + 2) * F.col("buckets") / BUCKET)).withColumn("bucket", bucket).select(*names)
     for f in fixed:
-        here = here.unionByName(f.select(*columns))
+        here = here.unionByName(f)
     copies = F.col("whole") + F.round("p").cast("int")
     return here.select("doc_id", "key", "size", "source_size", "target", copies.alias("copies"), (copies.cast("long") * F.col("size")).alias("taken"))
 
@@ -213,15 +244,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeat: float = R
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeat: float = REPEAT) -> DataFrame:
     """The mix itself: every row of docs as many times as it is taken, all columns kept.
 
-    Rows equal in doc_id and text share their copies.
+    Null texts and sources are treated as in mix(); an empty table gives no rows.  Rows equal in all columns share
+    their copies; rows that differ in any are decided upon apart.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    chosen = mix(docs, weights, repeat).groupBy("doc_id", "key").agg(F.sum("copies").alias("copies_")).where("copies_ > 0")
+    chosen = mix(docs, weights, repeat, docs.columns).groupBy("doc_id", "key").agg(F.sum("copies").alias("copies_")).where("copies_ > 0")
     chosen = chosen.select(F.col("doc_id").alias("id_"), F.col("key").alias("key_"), "copies_")
-    whole = docs.withColumn("row_", F.struct(*columns)).select(F.col("doc_id").cast("long").alias("d_"), F.xxhash64("doc_id", "text").alias("k_"), "row_")
-    joined = whole.join(chosen, F.col("d_").eqNullSafe(F.col("id_")) & (F.col("k_") == F.col("key_")))
-    # of equal rows the first has the copies of all; the window uses the join's partitioning
-    first = F.row_number().over(Window.partitionBy("k_", "d_").orderBy("k_"))
-    out = joined.withColumn("nth_", first).where("nth_ = 1")
-    out = out.select("row_", F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int"))).alias("copy_"))
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.col("doc_id").cast("long").alias("d_"), F.xxhash64(*every).alias("k_"), F.struct(*every).alias("row_"))
+    # equal rows become one before they are shuffled
+    rows = rows.groupBy("k_", "d_").agg(F.first("row_").alias("row_"))
+    out = rows.join(chosen, F.col("d_").eqNullSafe(F.col("id_")) & (F.col("k_") == F.col("key_")))
+    out = out.withColumn("copy_", F.explode(_repeated(F.col("copies_").cast("long")))).select("row_", F.explode("copy_"))
     return out.select("row_.*")

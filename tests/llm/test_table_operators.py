@@ -64,6 +64,34 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_a_large_group_and_texts_of_one_hash(spark, monkeypatch):
+    """5,000 near copies of one text, 5,000 equal rows, and hashes that most texts share; no slice of a centre's members is large."""
+    rnd = random.Random(9)
+    base = words(rnd, 60).split()
+    near = []
+    for i in range(5000):
+        t = list(base)
+        t[rnd.randrange(len(t))] = f"new{i}"
+        near.append((i, " ".join(t)))
+    more = [(5000 + i, base[0]) for i in range(5000)] + [(20000 + i, words(rnd, 12)) for i in range(200)]
+    df = spark.createDataFrame(near + more, "doc_id long, text string")
+    # one change in 60 words leaves 51 of 56 shingles, so any two near copies share at least 46 of 66 or more
+    got = dict(tuple(r) for r in neardup.near_duplicates(df).collect())
+    classes = Counter(got.values())
+    assert classes[0] == 5000 and classes[5000] == 5000 and len(classes) == 202
+    monkeypatch.setattr(neardup, "_hashes", lambda: (F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(40)).alias("node"), F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("other")))
+    few = spark.createDataFrame(near[:60] + more[:3] + more[-100:], "doc_id long, text string")
+    shared = dict(tuple(r) for r in neardup.near_duplicates(few).collect())
+    assert Counter(shared.values()) == Counter({0: 60, 5000: 3} | {20100 + i: 1 for i in range(100)})
+    assert sorted(r["doc_id"] for r in neardup.deduplicated(few).collect()) == [0, 5000, *range(20100, 20200)]
+
+
+def test_which_of_equal_rows_stays(spark):
+    rows = [(1, "a b c", s) for s in ("x", "y", "z", "x")] + [(2, "a b c", "w")]
+    made = [neardup.deduplicated(spark.createDataFrame(r, "doc_id long, text string, source string").repartition(3)).collect() for r in (rows, rows[::-1])]
+    assert len(made[0]) == 1 and made[0] == made[1] and made[0][0]["doc_id"] == 1
+
+
 def test_one_of_each_class_stays(spark):
     df, rows = awkward(spark)
     more = near_rows(6)
@@ -390,3 +418,39 @@ def test_names_of_layouts_and_states_do_not_drop_the_article(layout):
 def test_what_names_tell():
     told = {"sidebar": "boiler", "leftSidebar": "part", "post-footer": "part", "footer-content": "part", "mainContent": "content", "entry-content": "content", "comment-list": "comment", "has-sidebar": "", "comments-open": "", "content-sidebar-wrap": "", "x1": "", "": ""}
     assert {name: extract._told(name) for name in told} == told
+
+
+def test_many_equal_rows_fall_into_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", 256)
+    real = mixing._round
+
+    def watched(level, last):
+        decide = real(level, last)
+
+        def run(rows):
+            assert len(rows) < 600
+            return decide(rows)
+
+        return run
+
+    monkeypatch.setattr(mixing, "_round", watched)
+    rows = [(7, "one two three", "a")] * 5000 + [(i, words(random.Random(i), 3 + i % 40), "b") for i in range(100, 700)] + [(7, "one two three", "b")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).toPandas()
+    assert len(got) == len(rows)
+    for _, g in got.groupby("source_size"):
+        assert g["taken"].sum() == pytest.approx(g["target"].iloc[0], rel=0.01)
+    made = mixing.mixed_documents(df).groupBy("source").count().collect()
+    copies = {r["source"]: r["count"] for r in made}
+    assert copies["a"] == pytest.approx(got[got["source_size"] == 15000]["target"].iloc[0] / 3, rel=0.01)
+
+
+def test_targets_of_many_sources_follow_the_same_rule(spark, monkeypatch):
+    rnd = random.Random(12)
+    sizes = {None: 40, "": 7, **{f"s{rnd.randrange(10**6)}é": rnd.choice((0, 1, 5, 200, 3000)) for _ in range(60)}}
+    rows = [(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate(sizes.items())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    few = {r["doc_id"]: (r["target"], r["taken"]) for r in mixing.mix(df).collect()}
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 5)
+    many = {r["doc_id"]: (r["target"], r["taken"]) for r in mixing.mix(df).collect()}
+    assert {k: v[0] for k, v in many.items()} == pytest.approx({k: v[0] for k, v in few.items()}) and {k: v[1] for k, v in many.items()} == {k: v[1] for k, v in few.items()}
