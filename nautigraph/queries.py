@@ -27,17 +27,11 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-#: SQL that takes too much memory on whole tables: tests hold it against the smallest ones.
-SMALL_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, small: str | None = None):
+def query(sql: str | None = None):
     def add(f: Query) -> Query:
         _QUERIES[f.__name__] = f
         if sql:
             _SQL[f.__name__] = sql
-        if small:
-            SMALL_SQL[f.__name__] = small
         return f
 
     return add
@@ -178,13 +172,13 @@ def _leaves(spark, sf_dir, land=None) -> DataFrame:
     return Q.build(spark, land or _land(spark, sf_dir), DEPTH, _FROM)
 
 
-def _sql_level(depth: int, cells: str) -> str:
+def _sql_level(depth: int, cells: str, deepest: int = DEPTH) -> str:
     w, h = 360.0 / 2**depth, 180.0 / 2**depth
     nx, ny = (max(3, -int(-(d / 0.25) // 1) + 1) for d in (w, h))
     n = f"l{depth}"
     b = f"-180.0::DOUBLE + ix * {w}::DOUBLE AS min_lon, -90.0::DOUBLE + iy * {h}::DOUBLE AS min_lat, -180.0::DOUBLE + (ix + 1) * {w}::DOUBLE AS max_lon, -90.0::DOUBLE + (iy + 1) * {h}::DOUBLE AS max_lat"
     pid = f"((CAST(ix AS BIGINT) * 1000 + iy) * 1000 + xi) * 1000 + yi"
-    mixed = f"CASE WHEN cc.on_land THEN 'land' ELSE 'water' END" if depth == DEPTH else "'mixed'"
+    mixed = f"CASE WHEN cc.on_land THEN 'land' ELSE 'water' END" if depth == deepest else "'mixed'"
     centre = f"SELECT CAST(ix AS BIGINT) * 1000 + iy AS cid, (min_lon + max_lon) / 2 AS lon, (min_lat + max_lat) / 2 AS lat FROM {n}b"
     return f"""{n}b AS (SELECT ix, iy, {b} FROM ({cells})), {n}p AS (
   SELECT {pid} AS pid, ix, iy, min_lon + (xi::DOUBLE / {nx - 1}) * (max_lon - min_lon) AS lon, min_lat + (yi::DOUBLE / {ny - 1}) * (max_lat - min_lat) AS lat
@@ -305,12 +299,15 @@ def _sql_clear(pairs: str, key: str, step: float, from_a: float, from_b: float,
 {X.sql_precise(f'{name}s', 'pid', f'{name}p')}, {name} AS (SELECT l.{key}, coalesce(NOT bool_or(p.on_land), true) AS clear FROM {pairs} l LEFT JOIN {name}s s ON s.{key} = l.{key} LEFT JOIN {name}p p ON p.pid = s.pid GROUP BY l.{key})"""
 
 
+_BRIDGES = f"""near AS ({_KNN(6, 'isl', 'island', 'mains')}), k AS (SELECT *, island * 100 + rk AS lid, lon AS x1, lat AS y1, nlon AS x2, nlat AS y2, {X.sql_haversine('lon', 'lat', 'nlon', 'nlat')} AS km FROM near),
+ok AS (SELECT * FROM k a WHERE NOT EXISTS (SELECT 1 FROM k b WHERE b.island = a.island AND b.rk <= a.rk AND b.km > 3000)), {_sql_clear('ok', 'lid', 2.0, 0.3, 0.3, 'cl')},
+f AS (SELECT *, row_number() OVER (PARTITION BY island ORDER BY rk) AS o FROM ok JOIN cl USING (lid) WHERE clear), g AS (SELECT comp, island, f.node_id AS main_id, km, row_number() OVER (PARTITION BY comp ORDER BY km, island) AS o2 FROM f JOIN comps c ON c.node_id = f.island WHERE o = 1),
+bridged AS (SELECT island, main_id, km FROM g WHERE o2 = 1)"""
+
+
 @query(f"""WITH RECURSIVE {_COMPS}, {_MAIN}, {X.SQL_NODES}, {X.sql_rings()}, {X.sql_runs()},
 isl AS (SELECT node_id AS island, lon, lat FROM gnodes WHERE node_id NOT IN (SELECT node_id FROM comps WHERE comp = (SELECT comp FROM main))), mains AS (SELECT * FROM gnodes WHERE node_id IN (SELECT node_id FROM comps WHERE comp = (SELECT comp FROM main))),
-near AS ({_KNN(6, 'isl', 'island', 'mains')}), k AS (SELECT *, island * 100 + rk AS lid, lon AS x1, lat AS y1, nlon AS x2, nlat AS y2, {X.sql_haversine('lon', 'lat', 'nlon', 'nlat')} AS km FROM near),
-ok AS (SELECT * FROM k a WHERE NOT EXISTS (SELECT 1 FROM k b WHERE b.island = a.island AND b.rk <= a.rk AND b.km > 3000)), {_sql_clear('ok', 'lid', 2.0, 0.3, 0.3, 'cl')},
-f AS (SELECT *, row_number() OVER (PARTITION BY island ORDER BY rk) AS o FROM ok JOIN cl USING (lid) WHERE clear), g AS (SELECT comp, island, f.node_id AS main_id, km, row_number() OVER (PARTITION BY comp ORDER BY km, island) AS o2 FROM f JOIN comps c ON c.node_id = f.island WHERE o = 1)
-SELECT island AS src, main_id AS dst, round(km, 6) AS km FROM g WHERE o2 = 1""")
+{_BRIDGES} SELECT island AS src, main_id AS dst, round(km, 6) AS km FROM bridged""")
 def bridge_islands(spark, sf_dir):
     b = G.bridges(X.graph_nodes(spark, sf_dir), X.links(spark, sf_dir), _land(spark, sf_dir))
     return b.select("src", "dst", F.round("weight_km", 6).alias("km"))
@@ -358,8 +355,21 @@ def nearest_nodes(spark, sf_dir):
     return nearest_k(X.ports(spark, sf_dir), X.graph_nodes(spark, sf_dir), S.SNAP_NEIGHBOURS, "port_id").select("port_id", "node_id", "rk")
 
 
-@query(small=f"""WITH {X.SQL_PORTS}, {X.SQL_NODES}, {X.sql_rings()}, {X.sql_runs()}, near AS ({_KNN(16, 'ports', 'port_id', 'gnodes')}),
-k AS (SELECT *, port_id * 100 + rk AS lid, nlon AS x1, nlat AS y1, lon AS x2, lat AS y2, {X.sql_haversine('nlon', 'nlat', 'lon', 'lat')} AS km FROM near), {_sql_clear('k', 'lid', 1.0, -1.0, 0.6, 'cl')}
+def _sql_clear_near(pairs: str, key: str, step: float, from_a: float, from_b: float, name: str) -> str:
+    """As _sql_clear(), but only with samples in the boxes of rings, widened by two raster cells: elsewhere is no land."""
+    m = f"{2 * X.CELL}::DOUBLE"
+    t = lambda lo, hi, a, b: f"CASE WHEN {b} = {a} THEN CASE WHEN {a} BETWEEN {lo} AND {hi} THEN 0 ELSE 2 END ELSE least(({lo} - {a}) / ({b} - {a}), ({hi} - {a}) / ({b} - {a})) END, CASE WHEN {b} = {a} THEN 1 ELSE greatest(({lo} - {a}) / ({b} - {a}), ({hi} - {a}) / ({b} - {a})) END"
+    lon, lat = t(f"b.min_lon - {m}", f"b.max_lon + {m}", "x1", "x2"), t(f"b.min_lat - {m}", f"b.max_lat + {m}", "y1", "y2")
+    (x_lo, x_hi), (y_lo, y_hi) = (v.replace(" END, CASE", " END\x00CASE").split("\x00") for v in (lon, lat))
+    return f"""{name}n AS (SELECT *, greatest(2, CAST(ceil(km / {step}::DOUBLE) AS BIGINT)) AS n FROM {pairs}),
+{name}r AS (SELECT l.{key}, n, greatest(0, {x_lo}, {y_lo}) AS t0, least(1, {x_hi}, {y_hi}) AS t1 FROM {name}n l, boxes b),
+{name}i AS (SELECT DISTINCT {key}, unnest(range(greatest(0, CAST(floor(t0 * n) AS BIGINT) - 1), least(n, CAST(ceil(t1 * n) AS BIGINT) + 1) + 1)) AS i FROM {name}r WHERE t0 <= t1),
+{name}s AS (SELECT l.{key} * 100000 + i AS pid, l.{key}, x1 + (i::DOUBLE / n) * (x2 - x1) AS lon, y1 + (i::DOUBLE / n) * (y2 - y1) AS lat FROM {name}n l JOIN {name}i s ON s.{key} = l.{key} WHERE km >= 1e-6 AND (i::DOUBLE / n) * km > {from_a} AND (1 - i::DOUBLE / n) * km > {from_b}),
+{X.sql_precise(f'{name}s', 'pid', f'{name}p')}, {name} AS (SELECT l.{key}, coalesce(NOT bool_or(p.on_land), true) AS clear FROM {pairs} l LEFT JOIN {name}s s ON s.{key} = l.{key} LEFT JOIN {name}p p ON p.pid = s.pid GROUP BY l.{key})"""
+
+
+@query(f"""WITH {X.SQL_PORTS}, {X.SQL_NODES}, {X.sql_rings()}, {X.sql_runs()}, near AS ({_KNN(16, 'ports', 'port_id', 'gnodes')}),
+k AS (SELECT *, port_id * 100 + rk AS lid, nlon AS x1, nlat AS y1, lon AS x2, lat AS y2, {X.sql_haversine('nlon', 'nlat', 'lon', 'lat')} AS km FROM near), {_sql_clear_near('k', 'lid', 1.0, -1.0, 0.6, 'cl')}
 SELECT port_id, arg_min(node_id, CASE WHEN clear THEN 0 ELSE 100 END + rk) AS node_id FROM k JOIN cl USING (lid) GROUP BY port_id""")
 def snap_to_water(spark, sf_dir):
     return G.snap(X.ports(spark, sf_dir), X.graph_nodes(spark, sf_dir), _land(spark, sf_dir))
@@ -469,12 +479,55 @@ def smooth_open_water(spark, sf_dir):
     return made.select("conv_id", "seq", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
-@query()
+def _sql_sights(lines: str, name: str) -> str:
+    """CTE name(key, seen) of lines(key, x0, y0, x1, y1): whether they stay in water."""
+    touch = lambda x, y, u, v: f"EXISTS (SELECT 1 FROM boxes b WHERE least({x}, {u}) <= b.max_lon AND greatest({x}, {u}) >= b.min_lon AND least({y}, {v}) <= b.max_lat AND greatest({y}, {v}) >= b.min_lat)"
+    return f"""{name}l AS (SELECT *, x1 - x0 AS dx, y1 - y0 AS dy FROM {lines} WHERE {touch('x0', 'y0', 'x1', 'y1')}),
+{name}n AS (SELECT *, CASE WHEN sqrt(dx * dx + dy * dy) * 111 < 200 THEN 1 ELSE CAST(ceil(sqrt(dx * dx + dy * dy) * 111 / 100) AS BIGINT) END AS n FROM {name}l),
+{name}k AS (SELECT *, unnest(range(0, n)) AS k FROM {name}n),
+{name}u AS (SELECT key, n, k, dx, dy, x0 + (k::DOUBLE / n) * dx AS u, y0 + (k::DOUBLE / n) * dy AS v, x0 + ((k + 1)::DOUBLE / n) * dx AS p, y0 + ((k + 1)::DOUBLE / n) * dy AS q FROM {name}k),
+{name}p AS (SELECT key, k, u, v, CASE WHEN n = 1 THEN dx ELSE p - u END AS du, CASE WHEN n = 1 THEN dy ELSE q - v END AS dv FROM {name}u WHERE n = 1 OR {touch('u', 'v', 'p', 'q')}),
+{name}m AS (SELECT *, sqrt(du * du + dv * dv) AS len, greatest(2, CAST(ceil(sqrt(du * du + dv * dv) * 111) AS BIGINT)) AS m FROM {name}p),
+{name}i AS (SELECT *, unnest(range(1, m)) AS i FROM {name}m),
+{name}s AS (SELECT key AS pid, u + (i::DOUBLE / m) * du - side * (CASE WHEN len > 1e-10 THEN dv / len * 0.027::DOUBLE ELSE 0 END) AS lon, v + (i::DOUBLE / m) * dv + side * (CASE WHEN len > 1e-10 THEN du / len * 0.027::DOUBLE ELSE 0 END) AS lat FROM {name}i, (VALUES (0), (1), (-1)) t(side)),
+{X.sql_on_land(f'{name}s', 'pid', f'{name}w')},
+{name} AS (SELECT key, key NOT IN (SELECT pid FROM {name}w WHERE on_land) AS seen FROM {lines})"""
+
+
+_LINE_POINTS = f"pts AS (SELECT conv_id, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n, {X.sql_lon('conv_id * 31 + turn')} AS x, {X.sql_lat('conv_id * 31 + turn')} AS y FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"
+_RATIOS = ", ".join(f"({k}, {r}::DOUBLE)" for k, r in enumerate(S.SMOOTH_RATIOS, 1))
+
+
+def _sql_smooth(src: str, out: str) -> str:
+    """CTEs up to out(conv_id, i, n, x, y): a round of corner cutting of src.  What a side may be cut like depends on the side before."""
+    return f"""{out}a AS (SELECT a.conv_id, a.i, a.n, k, a.x AS sx, a.y AS sy, b.x AS ex, b.y AS ey, a.x * (1 - r) + b.x * r AS qx, a.y * (1 - r) + b.y * r AS qy, a.x * r + b.x * (1 - r) AS rx, a.y * r + b.y * (1 - r) AS ry
+  FROM {src} a JOIN {src} b ON b.conv_id = a.conv_id AND b.i = a.i + 1, (VALUES {_RATIOS}) t(k, r) WHERE a.n > 2),
+{out}o AS (SELECT conv_id, i, 0 AS o, sx AS x, sy AS y FROM {out}a WHERE k = 1 UNION ALL SELECT conv_id, i + 1, k, rx, ry FROM {out}a WHERE i + 1 < n),
+{out}c AS (SELECT conv_id * 1000000 + i * 1000 + k * 10 + 9 AS key, qx AS x0, qy AS y0, rx AS x1, ry AS y1 FROM {out}a
+  UNION ALL SELECT a.conv_id * 1000000 + a.i * 1000 + k * 10 + o, o.x, o.y, qx, qy FROM {out}a a JOIN {out}o o ON o.conv_id = a.conv_id AND o.i = a.i),
+{out}e AS (SELECT conv_id * 1000000 + i * 1000 + k * 10 + side AS pid, CASE side WHEN 0 THEN qx ELSE rx END AS lon, CASE side WHEN 0 THEN qy ELSE ry END AS lat FROM {out}a, (VALUES (0), (1)) t(side)),
+{X.sql_on_land(f'{out}e', 'pid', f'{out}d')}, {_sql_sights(f'{out}c', f'{out}v')},
+{out}f AS (SELECT a.conv_id, a.i, o.o, coalesce(min(a.k) FILTER (WHERE NOT d0.on_land AND NOT d1.on_land AND v9.seen AND vo.seen), 0) AS cut FROM {out}a a JOIN {out}o o ON o.conv_id = a.conv_id AND o.i = a.i
+  JOIN {out}d d0 ON d0.pid = a.conv_id * 1000000 + a.i * 1000 + a.k * 10 JOIN {out}d d1 ON d1.pid = d0.pid + 1 JOIN {out}v v9 ON v9.key = d0.pid + 9 JOIN {out}v vo ON vo.key = d0.pid + o.o GROUP BY 1, 2, 3),
+{out}w AS (SELECT conv_id, i, cut FROM {out}f WHERE i = 1 AND o = 0 UNION ALL SELECT f.conv_id, f.i, f.cut FROM {out}w w JOIN {out}f f ON f.conv_id = w.conv_id AND f.i = w.i + 1 AND f.o = w.cut),
+{out}p AS (SELECT conv_id, i * 10 AS nr, x, y FROM {src} WHERE n <= 2 UNION ALL SELECT conv_id, 0, x, y FROM {src} WHERE n > 2 AND i = 1 UNION ALL SELECT conv_id, 100000, x, y FROM {src} WHERE n > 2 AND i = n
+  UNION ALL SELECT a.conv_id, a.i * 10 + side, CASE WHEN cut = 0 AND side = 0 THEN sx WHEN cut = 0 THEN ex WHEN side = 0 THEN qx ELSE rx END, CASE WHEN cut = 0 AND side = 0 THEN sy WHEN cut = 0 THEN ey WHEN side = 0 THEN qy ELSE ry END
+  FROM {out}w w JOIN {out}a a ON a.conv_id = w.conv_id AND a.i = w.i AND a.k = greatest(w.cut, 1), (VALUES (0), (1)) t(side)),
+{out}g AS (SELECT *, lag(x) OVER v AS px, lag(y) OVER v AS py FROM {out}p WINDOW v AS (PARTITION BY conv_id ORDER BY nr)),
+{out} AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY nr) AS i, count(*) OVER (PARTITION BY conv_id) AS n, x, y FROM {out}g WHERE px IS NULL OR abs(x - px) >= 1e-9 OR abs(y - py) >= 1e-9)"""
+
+
+@query(f"WITH RECURSIVE {X.sql_rings()}, {X.sql_runs()}, {_LINE_POINTS}, {_sql_smooth('pts', 'one')}, {_sql_smooth('one', 'two')} SELECT conv_id, CAST(i - 1 AS INTEGER) AS seq, round(x, 6) AS lon, round(y, 6) AS lat FROM two")
 def smooth_coast(spark, sf_dir):
-    return _redrawn(_calls(spark, sf_dir), _land(spark, sf_dir), lambda line: routing.smooth(line, 2))
+    """Two rounds of corner cutting beside land."""
+    made = _redrawn(_calls(spark, sf_dir), _land(spark, sf_dir), lambda line: routing.smooth(line, 2))
+    return made.select("conv_id", "seq", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {X.sql_rings()}, {X.sql_runs()}, {_LINE_POINTS}, far AS (SELECT a.conv_id * 1000000 + a.i * 1000 + b.i AS key, a.conv_id, a.i, b.i AS j, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM pts a JOIN pts b ON b.conv_id = a.conv_id AND b.i > a.i + 1),
+{_sql_sights('far', 'seen')}, nxt AS (SELECT p.conv_id, p.i, coalesce(min(f.j) FILTER (WHERE NOT s.seen) - 1, any_value(p.n)) AS j FROM pts p LEFT JOIN far f ON f.conv_id = p.conv_id AND f.i = p.i LEFT JOIN seen s ON s.key = f.key GROUP BY p.conv_id, p.i),
+walk AS (SELECT conv_id, 1::BIGINT AS i, 0 AS seq FROM pts WHERE i = 1 UNION ALL SELECT w.conv_id, n.j, w.seq + 1 FROM walk w JOIN nxt n ON n.conv_id = w.conv_id AND n.i = w.i WHERE n.j > w.i)
+SELECT conv_id, CAST(seq AS INTEGER) AS seq, x AS lon, y AS lat FROM walk JOIN pts USING (conv_id, i)""")
 def line_of_sight(spark, sf_dir):
     return _redrawn(_calls(spark, sf_dir), _land(spark, sf_dir), routing.by_sight)
 
@@ -485,7 +538,15 @@ def _thinned(line):
     return routing.simplify(routing.unwrap(line), 5.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LINE_POINTS}, st AS (SELECT *, x - lag(x) OVER (PARTITION BY conv_id ORDER BY i) AS d FROM pts),
+un AS (SELECT conv_id, i, n, y, x + 360 * sum(CASE WHEN d > 180 THEN -ceil((d - 180) / 360) WHEN d < -180 THEN ceil((-180 - d) / 360) ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY i) AS x FROM st),
+pr AS (SELECT a.conv_id, a.i AS a, b.i AS b, k.i AS k, a.x AS x1, a.y AS y1, b.x - a.x AS dx, b.y - a.y AS dy, k.x, k.y FROM un a JOIN un b ON b.conv_id = a.conv_id AND b.i > a.i + 1 JOIN un k ON k.conv_id = a.conv_id AND k.i > a.i AND k.i < b.i),
+tt AS (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0 ELSE least(greatest((x - x1) * dx + (y - y1) * dy / (dx * dx + dy * dy), 0), 1) END AS t FROM pr),
+ds AS (SELECT conv_id, a, b, k, sqrt(pow(x - (x1 + t * dx), 2) + pow(y - (y1 + t * dy), 2)) AS d FROM tt),
+far AS (SELECT * FROM ds QUALIFY row_number() OVER (PARTITION BY conv_id, a, b ORDER BY d DESC, k) = 1),
+seg AS (SELECT conv_id, 1::BIGINT AS a, n AS b FROM un WHERE i = 1 UNION ALL SELECT s.conv_id, CASE side WHEN 0 THEN s.a ELSE f.k END, CASE side WHEN 0 THEN f.k ELSE s.b END FROM seg s JOIN far f ON f.conv_id = s.conv_id AND f.a = s.a AND f.b = s.b, (VALUES (0), (1)) t(side) WHERE f.d > 5),
+kept AS (SELECT conv_id, a AS i FROM seg UNION SELECT conv_id, b FROM seg)
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1 AS INTEGER) AS seq, x AS lon, y AS lat FROM kept JOIN un USING (conv_id, i)""")
 def simplify_lines(spark, sf_dir):
     return _redrawn(_calls(spark, sf_dir), _land(spark, sf_dir), _thinned)
 
@@ -525,7 +586,34 @@ def route_geojson(spark, sf_dir):
     return E.to_geojson(_engine(spark, sf_dir).routes(_requests(spark, sf_dir)).withColumn("time_ms", F.lit(0.0)))
 
 
-@query()
+def _sql_world(depth: int) -> str:
+    """CTEs up to edges(src, dst, km) of the graph that Engine.generate() makes of the derived rings, land and all."""
+    levels = [_sql_level(0, "SELECT 0 AS ix, 0 AS iy", depth), *[_sql_level(d, _sql_kids(f"l{d - 1}"), depth) for d in range(1, depth + 1)]]
+    every = " UNION ALL ".join(f"SELECT * FROM l{d}" for d in range(depth + 1))
+    bound = "-180.0::DOUBLE + ix * 360.0::DOUBLE / pow(2, depth) AS min_lon, -90.0::DOUBLE + iy * 180.0::DOUBLE / pow(2, depth) AS min_lat, -180.0::DOUBLE + (ix + 1) * 360.0::DOUBLE / pow(2, depth) AS max_lon, -90.0::DOUBLE + (iy + 1) * 180.0::DOUBLE / pow(2, depth) AS max_lat"
+    out = [X.sql_rings(), X.sql_runs(), *levels, f"lv{depth} AS (SELECT depth, ix, iy, type, {bound} FROM ({every}) WHERE type <> 'mixed')"]
+    for d in range(depth, 0, -1):  # four water siblings become one, unless land is within a tenth of their width
+        e = "(w.max_lon - w.min_lon) * 0.1"
+        out.append(f"""m{d} AS (SELECT ix // 2 AS px, iy // 2 AS py FROM lv{d} w WHERE type = 'water' AND depth = {d} GROUP BY ix // 2, iy // 2 HAVING count(*) = 4
+  AND bool_and(NOT EXISTS (SELECT 1 FROM lv{d} b WHERE b.type = 'land' AND b.min_lon <= w.max_lon + {e} AND b.max_lon >= w.min_lon - {e} AND b.min_lat <= w.max_lat + {e} AND b.max_lat >= w.min_lat - {e})))""")
+        out.append(f"""lv{d - 1} AS (SELECT * FROM lv{d} l WHERE NOT (type = 'water' AND depth = {d} AND EXISTS (SELECT 1 FROM m{d} m WHERE m.px = l.ix // 2 AND m.py = l.iy // 2))
+  UNION ALL SELECT depth, ix, iy, type, {bound} FROM (SELECT {d - 1} AS depth, px AS ix, py AS iy, 'water' AS type FROM m{d}))""")
+    digits = " || ".join(f"CASE WHEN depth > {k} THEN CAST(((iy >> (depth - {k + 1})) % 2) * 2 + (ix >> (depth - {k + 1})) % 2 AS VARCHAR) ELSE '0' END" for k in range(depth))
+    out.append(f"ids AS (SELECT row_number() OVER (ORDER BY {digits} DESC) - 1 AS node_id, * FROM lv0 WHERE type = 'water')")
+    out.append("base AS (SELECT node_id, (min_lon + max_lon) / 2 AS lon, (min_lat + max_lat) / 2 AS lat FROM ids)")
+    seam = "SELECT e.node_id AS src, w.node_id AS dst, 360.0::DOUBLE AS turn FROM ids e JOIN ids w ON e.max_lon >= 180 - 1e-6 AND w.min_lon <= -180 + 1e-6 AND NOT (e.min_lat >= w.max_lat OR w.min_lat >= e.max_lat)"
+    out += [_ADJ, f"ends AS (SELECT p.src, p.dst, a.lon AS x1, a.lat AS y1, b.lon + p.turn AS x2, b.lat AS y2 FROM (SELECT src, dst, 0.0::DOUBLE AS turn FROM adj UNION ALL {seam}) p JOIN base a ON a.node_id = p.src JOIN base b ON b.node_id = p.dst)", _SPOTS]
+    out.append(f"links AS (SELECT src, dst, {X.sql_haversine('x1', 'y1', 'x2', 'y2')} AS km FROM ends e WHERE NOT EXISTS (SELECT 1 FROM crossing c WHERE c.src = e.src AND c.dst = e.dst))")
+    out.append("reach AS (SELECT node_id, node_id AS other FROM base UNION SELECT r.node_id, e.b FROM reach r JOIN (SELECT src AS a, dst AS b FROM links UNION ALL SELECT dst, src FROM links) e ON e.a = r.other), comps AS (SELECT node_id, min(other) AS comp FROM reach GROUP BY node_id)")
+    out += [_MAIN, "isl AS (SELECT node_id AS island, lon, lat FROM base WHERE node_id NOT IN (SELECT node_id FROM comps WHERE comp = (SELECT comp FROM main))), mains AS (SELECT * FROM base WHERE node_id IN (SELECT node_id FROM comps WHERE comp = (SELECT comp FROM main)))"]
+    out += [_BRIDGES, _WAY.replace("SELECT count(*) FROM supplier", "SELECT count(*) FROM base"), f"wends AS (SELECT node_id AS end_id, lon, lat FROM way w WHERE seq = 0 OR seq = (SELECT max(seq) FROM way v WHERE v.canal = w.canal)), wnear AS ({_KNN(5, 'wends', 'end_id', 'base')})"]
+    out.append(f"""edges AS (SELECT src, dst, km FROM links UNION ALL SELECT island, main_id, km FROM bridged UNION ALL
+  SELECT a.node_id, b.node_id, {X.sql_haversine('a.lon', 'a.lat', 'b.lon', 'b.lat')} FROM way a JOIN way b ON a.canal = b.canal AND b.seq = a.seq + 1 UNION ALL
+  SELECT end_id, node_id, {X.sql_haversine('lon', 'lat', 'nlon', 'nlat')} FROM wnear WHERE {X.sql_haversine('lon', 'lat', 'nlon', 'nlat')} < 100)""")
+    return ", ".join(out)
+
+
+@query(f"WITH RECURSIVE {_sql_world(5)} SELECT src, dst, round(km, 3) AS km FROM edges")
 def world_graph_edges(spark, sf_dir):
     return _engine(spark, sf_dir).edges.select("src", "dst", F.round("weight_km", 3).alias("km"))
 
