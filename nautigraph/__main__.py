@@ -1,7 +1,9 @@
-"""python -m nautigraph generate LAND OUT [DEPTH] | routes OUT LAND REQUESTS ANSWERS
+"""python -m nautigraph generate LAND OUT [DEPTH] | routes OUT LAND REQUESTS ANSWERS | route OUT LAND FROM TO [PENALTY] | health OUT LAND
 
-generate builds a graph from a GeoJSON file of land and writes its tables; routes answers a JSON-lines file of
-{"req_id": ..., "body": "{...}"} with that graph and writes GeoJSON rows.
+LAND is a GeoJSON file of land, or several with commas between: the first that is there counts.  generate builds a
+graph from it and writes its tables and raster.  routes answers a JSON-lines file of {"req_id": ..., "body": "{...}"}
+or {"req_id": ..., "from": "lon,lat", "to": "lon,lat", "penalty": ...} with that graph and writes GeoJSON rows; route
+answers one request and prints it; health says whether the smoke request is answered.
 """
 
 from __future__ import annotations
@@ -11,27 +13,39 @@ import sys
 from pyspark.sql import SparkSession
 
 from . import semantics as S
-from .functions.cut import cut
-from .operators import land as L
-from .plans.engine import Engine, to_geojson
+from .plans.engine import Engine, kept_raster, to_geojson
 from .plans.landindex import build_index
 from .sources import geojson, graphs, requests
 
 
+def _engine(spark: SparkSession, out: str, land: str) -> Engine:
+    rings = geojson.land_rings(spark, geojson.land_file(spark, land.split(",")))
+    return Engine(spark, *graphs.read_graph(spark, out), build_index(rings, kept_raster(rings, S.RASTER_CELL, f"{out}/raster.bin")))
+
+
 def main(args: list[str]) -> int:
-    if len(args) in (3, 4) and args[0] == "generate":
-        spark = SparkSession.builder.appName("nautigraph").getOrCreate()
-        Engine.from_geojson(spark, args[1], depth=int(args[3]) if len(args) == 4 else S.DEFAULT_DEPTH).save(args[2])
+    command, rest = (args[0], args[1:]) if args else ("", [])
+    wanted = {"generate": (2, 3), "routes": (4,), "route": (4, 5), "health": (2,)}
+    if len(rest) not in wanted.get(command, ()):
+        print(__doc__, file=sys.stderr)
+        return 2
+    spark = SparkSession.builder.appName("nautigraph").getOrCreate()
+    if command == "generate":
+        engine = Engine.from_geojson(spark, rest[0].split(","), depth=int(rest[2]) if len(rest) == 3 else S.DEFAULT_DEPTH, raster=f"{rest[1]}/raster.bin")
+        engine.save(rest[1])
+        print(", ".join(f"{n} {k}" for k, n in engine.counts.items()), file=sys.stderr)
         return 0
-    if len(args) == 5 and args[0] == "routes":
-        spark = SparkSession.builder.appName("nautigraph").getOrCreate()
-        rings = geojson.land_rings(spark, args[2])
-        land = build_index(rings, cut(L.raster_runs(L.ring_edges(rings))))
-        engine = Engine(spark, *graphs.read_graph(spark, args[1]), land)
-        to_geojson(engine.routes(requests.multi(spark.read.schema("req_id long, body string").json(args[3])))).write.parquet(args[4])
+    engine = _engine(spark, rest[0], rest[1])
+    if command == "health":
+        return 0 if engine.healthy() else 1
+    if command == "route":
+        asked = spark.createDataFrame([(0, rest[2], rest[3], float(rest[4]) if len(rest) == 5 else None)], "req_id long, from string, to string, penalty double")
+        print(to_geojson(engine.routes(requests.single(asked))).first()["value"])
         return 0
-    print(__doc__, file=sys.stderr)
-    return 2
+    rows = spark.read.schema("req_id long, body string, from string, to string, penalty double").json(rest[2])
+    asked = requests.multi(rows.where("body is not null")).unionByName(requests.single(rows.where("body is null")))
+    to_geojson(engine.routes(asked)).write.parquet(rest[3])
+    return 0
 
 
 if __name__ == "__main__":

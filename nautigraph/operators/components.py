@@ -1,7 +1,9 @@
-"""Connected components by alternating large and small stars, each round checkpointed."""
+"""Connected components by alternating large and small stars, each round kept."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,17 +24,26 @@ def _flat(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node_id, comp: comp is the least node_id of the component; a node without edges is one of its own."""
-    links = edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct().transform(cut)
+def stars(links: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """a, b: for every node of links(a, b) that isn't the least of its component that least node.
+
+    Self-links and null ends are passed over.  The number of rounds grows with the logarithm of the longest path;
+    each is kept, so neither plans nor lost executors reach further back.
+    """
+    links = links.where("a is not null and b is not null and a <> b")
+    links = keep(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
         state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if not state[0] or state == seen:
-            break
+            return links
         seen = state
-        links = _flat(_toward_least(links)).transform(cut)
-    root = links.select(F.col("a").alias("node_id"), F.col("b").alias("comp"))
+        links = keep(_flat(_toward_least(links)))
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node_id, comp: comp is the least node_id of the component; a node without edges is one of its own."""
+    root = stars(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).select(F.col("a").alias("node_id"), F.col("b").alias("comp"))
     return nodes.select("node_id").join(root, "node_id", "left").select("node_id", F.coalesce("comp", "node_id").alias("comp"))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .. import semantics as S
@@ -158,13 +158,19 @@ def canal_edges(waypoints: DataFrame, nodes: DataFrame) -> DataFrame:
     return chain.unionByName(links.select(F.col("end").alias("src"), F.col("node_id").alias("dst"), F.col("km").alias("weight_km")))
 
 
-def build(leaves: DataFrame, land: LandIndex, canals: DataFrame | None = None, semantics: S.Semantics = S.DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) from water leaves: touching cells, the dateline, bridges, then canals."""
+def build(leaves: DataFrame, land: LandIndex, canals: DataFrame | None = None, semantics: S.Semantics = S.DEFAULT, counts: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) from water leaves: touching cells, the dateline, bridges, then canals; counts gets what was tested and dropped."""
     from .quadtree import nodes as centres
 
     leaves = leaves.transform(cut)
     base = centres(leaves)
-    edges = prune(adjacency(leaves, semantics), base, land).unionByName(seam_edges(leaves, base, land)).transform(cut)
+    # both are observed while the edges are made, so counting costs no job
+    tested, clear = Observation(), Observation()
+    touching = adjacency(leaves, semantics).select("src", "dst", F.lit(0.0).alias("turn")).unionByName(seam_pairs(leaves).select("src", "dst", F.lit(360.0).alias("turn")))
+    ends = with_ends(touching, base).withColumn("lon2", F.col("lon2") + F.col("turn"))
+    edges = _weighed(ends.observe(tested, F.count(F.lit(1)).alias("n")), land).observe(clear, F.count(F.lit(1)).alias("n")).transform(cut)
+    if counts is not None:
+        counts |= {"edges tested": tested.get["n"], "edges dropped": tested.get["n"] - clear.get["n"]}
     edges = edges.unionByName(bridges(base, edges, land))
     nodes = base
     if canals is not None:

@@ -432,13 +432,17 @@ def geojson_features(spark, sf_dir):
     return made.select("conv_id", F.col("f.properties.name").alias("name"), F.col("f.properties.color").alias("color"), F.col("f.properties.pointCount").alias("point_count"), F.element_at(F.element_at("f.geometry.coordinates", 1), 1).alias("first_lon"))
 
 
-_BODY = "'{\"ports\":[[' || conv_id || '.5,' || (turn % 90) || '],[-1.25,' || (conv_id % 60) || ']' || CASE WHEN turn % 3 = 0 THEN '],\"penalty\":' || (1 + turn % 4) ELSE ']' END || '}'"
+_BODY = """CASE WHEN turn % 7 = 5 THEN '{"ports":[[' || conv_id || '.5,1]]}' WHEN turn % 7 = 6 THEN 'nonsense' ELSE
+'{"ports":[[' || conv_id || '.5,' || (turn % 90) || '],[' || CASE WHEN turn % 7 = 4 THEN '1e300' ELSE '-1.25' END || ',' || (conv_id % 60) || ']' || CASE WHEN turn % 3 = 0 THEN '],"penalty":' || (1 + turn % 4) ELSE ']' END || '}' END"""
 
 
-@query("SELECT conv_id * 100 + turn AS req_id, CAST(2 AS INTEGER) AS n_ports, CAST(CASE WHEN turn % 3 = 0 THEN 1 + turn % 4 ELSE 5 END AS DOUBLE) AS penalty, CAST(conv_id AS DOUBLE) + 0.5::DOUBLE AS first_lon, CAST(NULL AS VARCHAR) AS error FROM conversations")
+@query("""SELECT conv_id * 100 + turn AS req_id, CAST(CASE turn % 7 WHEN 5 THEN 1 WHEN 6 THEN NULL ELSE 2 END AS INTEGER) AS n_ports, CAST(CASE WHEN turn % 3 = 0 AND turn % 7 < 5 THEN 1 + turn % 4 ELSE 5 END AS DOUBLE) AS penalty,
+CASE WHEN turn % 7 < 6 THEN CAST(conv_id AS DOUBLE) + 0.5::DOUBLE END AS first_lon, CASE WHEN turn % 7 >= 5 THEN 'Need ≥2 ports' WHEN turn % 7 = 4 THEN 'Invalid coords' END AS error FROM conversations""")
 def parse_requests(spark, sf_dir):
+    """Bodies of two ports, of one, with a coordinate beyond all bounds, and of no JSON at all."""
     bodies = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("req_id"), F.expr(_BODY).alias("body"))
-    return requests.multi(bodies).select("req_id", F.size("ports").alias("n_ports"), F.col("penalty").cast("double").alias("penalty"), F.col("ports")[0]["lon"].alias("first_lon"), "error")
+    n = F.when(F.col("ports").isNotNull(), F.size("ports"))
+    return requests.multi(bodies).select("req_id", n.alias("n_ports"), F.col("penalty").cast("double").alias("penalty"), F.get("ports", F.lit(0))["lon"].alias("first_lon"), "error")
 
 
 # ---- lines ----
@@ -618,19 +622,26 @@ def world_graph_edges(spark, sf_dir):
     return _engine(spark, sf_dir).edges.select("src", "dst", F.round("weight_km", 3).alias("km"))
 
 
-@query(f"WITH RECURSIVE {_COSTS} SELECT node, round(min(cost), 3) AS cost FROM walk WHERE node <> {_SOURCES} GROUP BY node")
+# cells lie 0.008 degrees apart, so that the great circle is never more than a link's base weight; depths give every link its penalty
+_STEEP = "CAST(CAST(greatest(1 + src % 16, 1 + dst % 16) AS DOUBLE) / (SELECT max(1 + node % 16) FROM cells) AS FLOAT)"
+_RISE = f"(({_STEEP} - 0.2::FLOAT) / (1::FLOAT - 0.2::FLOAT))"
+
+
+@query(f"""WITH RECURSIVE {_GRID}, steep AS (SELECT src, dst, CAST(CASE WHEN {_STEEP} <= 0.2::FLOAT THEN CAST(w AS FLOAT) ELSE CAST(w AS FLOAT) * (1::FLOAT + 4::FLOAT * {_RISE} * {_RISE}) END AS DOUBLE) AS w FROM arcs),
+walk AS (SELECT {_SOURCES} AS node, 0::DOUBLE AS cost, 0 AS step UNION ALL SELECT node, min(cost), step FROM (SELECT a.dst AS node, w.cost + a.w AS cost, w.step + 1 AS step FROM walk w JOIN steep a ON a.src = w.node WHERE w.step < (SELECT 40 + max(y) FROM cells)) GROUP BY node, step)
+SELECT node, round(min(cost), 3) AS cost FROM walk WHERE node <> {_SOURCES} GROUP BY node""")
 def astar_cost(spark, sf_dir):
-    """The search in memory over the grid, for every cell that it reaches from the first."""
+    """The search in memory, with its heuristic and penalty 5, for every cell of the grid that it reaches from the first."""
     cells, arcs = X.grid(spark, sf_dir)
-    flat = cells.select(F.col("node").alias("node_id"), F.lit(0.0).alias("lon"), F.lit(0.0).alias("lat"), F.lit(1).alias("depth"))
-    g = routing.load(flat, arcs.where("src < dst").select("src", "dst", F.col("w").alias("weight_km")))
+    placed = cells.select(F.col("node").alias("node_id"), (F.col("x") * 0.008).alias("lon"), (F.col("y") * 0.008).alias("lat"), (1 + F.col("node") % 16).cast("int").alias("depth"))
+    g = routing.load(placed, arcs.where("src < dst").select("src", "dst", F.col("w").alias("weight_km")))
     ids = sorted(r[0] for r in cells.select("node").collect())
     shared = spark.sparkContext.broadcast((g, ids))
 
     def run(batches):
         g, ids = shared.value
         for b in batches:
-            found = [routing.search(g, 0, ids.index(n), 1.0) for n in b["node"]]
+            found = [routing.search(g, 0, ids.index(n), S.PENALTY) for n in b["node"]]
             out = b.assign(cost=[f and round(f[1], 3) for f in found])
             yield out[out["cost"].notna() & (out["node"] != ids[0])].astype({"cost": float})
 

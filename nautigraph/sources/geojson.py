@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import os
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import semantics as S
 from ..functions.cut import cut
+from .graphs import exists
 
 _FEATURES = "struct<features:array<struct<geometry:struct<type:string,coordinates:string>>>>"
 _POLYGON = "array<array<array<double>>>"
@@ -46,10 +47,11 @@ def with_boxes(rings: DataFrame) -> DataFrame:
     return rings.withColumns(box).withColumn("is_island", span <= S.ISLAND_SPAN)
 
 
-def land_file(*candidates: str) -> str:
+def land_file(spark: SparkSession, candidates: str | Sequence[str]) -> str:
     """The first path that is there: detailed land before coarse."""
+    candidates = [candidates] if isinstance(candidates, str) else list(candidates)
     for c in candidates:
-        if os.path.exists(c):
+        if exists(spark, c):
             return c
     raise FileNotFoundError(", ".join(candidates))
 

@@ -71,10 +71,40 @@ def raster_runs_of(data: bytes, cell: float = S.RASTER_CELL) -> np.ndarray:
     """Runs (row, start, end) of a binary raster; a wrong mark, version or length is an error."""
     rows, cols = S.raster_shape(cell)
     mark, version, words = struct.unpack_from("<QII", data)
-    if mark != RASTER_MARK or version != RASTER_VERSION or len(data) != 16 + 8 * words:
+    if mark != RASTER_MARK or version != RASTER_VERSION or len(data) != 16 + 8 * words or words != -(-rows * cols // 64):
         raise ValueError("not a raster of this version")
     bits = np.unpackbits(np.frombuffer(data, np.uint8, offset=16), bitorder="little")[: rows * cols].reshape(rows, cols)
     edge = np.diff(bits.astype(np.int8), axis=1, prepend=0, append=0)
     row, start = np.nonzero(edge == 1)
     _, end = np.nonzero(edge == -1)
     return np.stack([row, start, end], axis=1)
+
+
+def write_raster(spark: SparkSession, runs: np.ndarray, path: str, cell: float = S.RASTER_CELL) -> None:
+    """The binary raster as a file at path, on any file system that Spark knows."""
+    out = _file(spark, path)[0].create(_file(spark, path)[1], True)
+    try:
+        out.write(bytearray(raster_bytes(runs, cell)))
+    finally:
+        out.close()
+
+
+def read_raster(spark: SparkSession, path: str, cell: float = S.RASTER_CELL) -> np.ndarray | None:
+    """Runs of the raster file at path; None if there is none or it is of another kind, as it can be made anew."""
+    if not exists(spark, path):
+        return None
+    data = spark.read.format("binaryFile").load(path).select("content").first()[0]
+    try:
+        return raster_runs_of(bytes(data), cell)
+    except (ValueError, struct.error):
+        return None
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _file(spark, path)
+    return bool(fs.exists(where))
+
+
+def _file(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where

@@ -12,7 +12,7 @@ from nautigraph.operators import graph as G
 from nautigraph.operators import land as L
 from nautigraph.operators import quadtree as Q
 from nautigraph.plans import routing
-from nautigraph.plans.engine import Engine, to_geojson
+from nautigraph.plans.engine import LEGS, Engine, kept_raster, to_geojson
 from nautigraph.plans.landindex import Boxes, build_index, haversine
 from nautigraph.sources import geojson, graphs, requests
 
@@ -243,6 +243,11 @@ def test_engine_end_to_end(spark, world, tmp_path):
     made = {r["req_id"]: json.loads(r["value"]) for r in to_geojson(e.routes(reqs)).collect()}
     assert [f["properties"]["name"] for f in made[1]["features"]] == ["raw", "los", "final"] and made[3] == {"error": "Need ≥2 ports"}
     assert "legs" not in made[1]["features"][0]["properties"] and made[2]["features"][0]["properties"]["legs"] == 2
+    # few bytes, many tasks
+    many = spark.range(5 * LEGS).select(F.col("id").alias("req_id"), F.lit('{"ports":[[65,-5],[82,-5]]}').alias("body")).coalesce(1)
+    assert e.routes(requests.multi(many)).rdd.getNumPartitions() == 5
+    assert e.healthy()
+    assert e.counts["nodes"] == e.nodes.count() and e.counts["edges tested"] > e.counts["edges dropped"] >= 0 and e.counts["water leaves"] >= 3 * e.counts["merges"] >= 0
     e.save(str(tmp_path / "graph"))
     nodes, edges = graphs.read_graph(spark, str(tmp_path / "graph"))
     assert nodes.count() == e.nodes.count() and edges.count() == e.edges.count()
@@ -270,14 +275,36 @@ def test_flags_mend_odd_rules(spark, tmp_path):
     assert literal.is_land_precise([73.0], [-5.0])[0] and not mended.is_land_precise([73.0], [-5.0])[0]
 
 
-def test_command_line(spark, tmp_path):
+def test_command_line(spark, tmp_path, capsys):
     from nautigraph.__main__ import main
 
+    land, out = str(tmp_path / "l.json"), str(tmp_path / "g")
     (tmp_path / "l.json").write_text(json.dumps({"features": [{"geometry": {"type": "Polygon", "coordinates": [LARGE]}}]}))
-    assert main([]) == 2 and main(["generate", str(tmp_path / "l.json"), str(tmp_path / "g"), "3"]) == 0
-    (tmp_path / "r.json").write_text(json.dumps({"req_id": 1, "body": json.dumps({"ports": [[60, -5], [85, -5]]})}))
-    assert main(["routes", str(tmp_path / "g"), str(tmp_path / "l.json"), str(tmp_path / "r.json"), str(tmp_path / "a")]) == 0
-    assert json.loads(spark.read.parquet(str(tmp_path / "a")).first()["value"])["type"] == "FeatureCollection"
+    several = f"{tmp_path}/detailed.json,{land}"
+    assert main([]) == 2 and main(["route", out]) == 2 and main(["generate", several, out, "3"]) == 0
+    assert graphs.read_raster(spark, f"{out}/raster.bin") is not None
+    rows = [{"req_id": 1, "body": json.dumps({"ports": [[60, -5], [85, -5]]})}, {"req_id": 2, "from": "60,-5", "to": "85,-5", "penalty": 2.0}, {"req_id": 3, "from": "60", "to": "1,2"}]
+    (tmp_path / "r.json").write_text("\n".join(map(json.dumps, rows)))
+    assert main(["routes", out, land, str(tmp_path / "r.json"), str(tmp_path / "a")]) == 0
+    made = {r["req_id"]: json.loads(r["value"]) for r in spark.read.parquet(str(tmp_path / "a")).collect()}
+    assert made[1]["type"] == made[2]["type"] == "FeatureCollection" and made[3] == {"error": "Invalid coords"}
+    capsys.readouterr()
+    assert main(["route", out, land, "60,-5", "85,-5", "2"]) == 0
+    line = json.loads(capsys.readouterr().out)["features"][0]
+    assert line["geometry"] == made[2]["features"][0]["geometry"]
+    assert main(["health", out, land]) == 0
+
+
+def test_raster_file_is_kept_and_read(spark, world, tmp_path):
+    table, land = world(SMALL, LARGE, cell=0.5)
+    path = str(tmp_path / "raster.bin")
+    first = kept_raster(table, 0.5, path)
+    again = kept_raster(table, 0.5, path)
+    assert sorted(map(tuple, first.select("row", "col_start", "col_end").collect())) == sorted(map(tuple, again.collect()))
+    assert graphs.read_raster(spark, path, 1.0) is None and graphs.read_raster(spark, path + "x", 0.5) is None  # another grid, no file
+    with pytest.raises(FileNotFoundError):
+        geojson.land_file(spark, [path + "x", path + "y"])
+    assert geojson.land_file(spark, [path + "x", path]) == path
 
 
 def test_no_land_gives_one_cell(spark, world):

@@ -1,4 +1,4 @@
-"""Every query of the navigation engine against its SQL; those without SQL must run and give rows."""
+"""Every query of the navigation engine against its SQL; test_routes.py holds those without SQL against plain Python."""
 
 import duckdb
 import pytest
@@ -24,12 +24,12 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(N.queries()))
 def test_query(spark, sf, duck, name):
     got = N.queries()[name](spark, sf).toPandas()
-    if sql := N.oracle_sql().get(name) or N.SMALL_SQL.get(name):
+    if sql := N.oracle_sql().get(name):
         want = duck.execute(sql).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got) == rows(want)
     else:
-        assert len(got)
+        assert name in ("routes", "itineraries", "route_geojson") and len(got)
 
 
 def test_entry(spark):
