@@ -7,17 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL = "file:///tmp/checkpoints/nautigraph"
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Make sure that checkpoints have a folder: the cluster's spark.checkpoint.dir, or a local one under a local master."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of checkpoints: the cluster's spark.checkpoint.dir, or a local one under a local master; set if it isn't yet."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = LOCAL
-    sc.setCheckpointDir(where)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(where)
+    return where
 
 
 def cut(df: DataFrame) -> DataFrame:
