@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_rows
 
-LEAF_CHARS = 1024
-LEAF_IDS = 4096
+LEAF_CHARS = 512
+LEAF_IDS = 512
 #: How far from a border a class border is looked for before tokens of one long run are joined by pairs.
 REACH = 48
 

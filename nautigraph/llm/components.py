@@ -1,37 +1,17 @@
-"""Connected components of a table of links, by alternating large and small stars."""
+"""Connected components of a table of links."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import stars
 from .common import written
 
 
-def _large_star(e: DataFrame) -> DataFrame:
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-
-
-def _small_star(e: DataFrame) -> DataFrame:
-    down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-
-
 def components(links: DataFrame) -> DataFrame:
     """node, root for every node of links(a, b) that isn't the root, the least node, of its component.
 
-    Self-links and null ends are passed over; an empty table gives none.  The number of rounds grows with the
-    logarithm of the longest path; each is written out, so neither plans nor lost executors reach further back.
+    Self-links and null ends are passed over; an empty table gives none.  Each round is written out.
     """
-    e = written(links.where("a is not null and b is not null and a <> b").select("a", "b").distinct(), "links")
-    state = None
-    while True:
-        new = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if new == state or not new[0]:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = new
-        e = written(_small_star(_large_star(e)), "stars")
+    return stars(links, lambda df: written(df, "stars")).select(F.col("a").alias("node"), F.col("b").alias("root"))

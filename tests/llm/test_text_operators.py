@@ -219,6 +219,66 @@ def test_kneser_ney_is_a_distribution_and_matches_a_plain_recursion():
     assert sum(p(c, "ab") for c in "abc ") <= 1 + 1e-9
 
 
+def test_a_cut_off_keeps_the_most_frequent_grams(spark):
+    rnd = random.Random(3)
+    df = spark.createDataFrame([(i, words(rnd, 30, 50), rnd.choice(("en", "fr"))) for i in range(60)], "doc_id long, text string, lang string")
+    counts = langid.ngram_counts(df).cache()
+    n = counts.count()
+    assert langid._kept(counts, n).count() == n
+    kept = langid._kept(counts, n // 3)
+    rows = [tuple(r) for r in kept.collect()]
+    assert 0 < len(rows) <= n // 3 and min(k for _, g, k in rows if len(g) > 1) > 1
+    own = {(lang, g) for lang, g, _ in rows}
+    assert all((lang, g[1:]) in own and (g[:-1] == " " or (lang, g[:-1]) in own) for lang, g in own if len(g) > 1)
+    by_lang = {}
+    for lang, g, k in rows:
+        by_lang.setdefault(lang, {})[g] = k
+    scores = langid.build(by_lang).score_words(["kalo", "zzz", "w12", "é"])
+    assert np.isfinite(scores).all() and (scores < 0).all()
+
+
+def test_scores_equal_a_search_in_plain_tables():
+    """The interpolated tables against back-off from order to order, for languages with different n-grams."""
+    rnd = random.Random(8)
+    counts = {}
+    for lang, letters in (("x", "abc"), ("y", "bcd"), ("z", "aé")):
+        counts[lang] = Counter()
+        for _ in range(80):
+            s = " " + "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 6))) + " "
+            counts[lang].update(s[i : i + n] for n in range(1, 5) for i in range(len(s) - n + 1) if n > 1 or i)
+    m = langid.build(counts)
+    alone = {lang: langid.build({lang: c, **{k: v for k, v in counts.items() if k != lang}}) for lang, c in counts.items()}
+    for w in ("abc", "bcdb", "éa", "q", "abcd", "ddddd"):
+        for k, lang in enumerate(m.langs):
+            single = langid.build({lang: counts[lang]})
+            single.floor = m.floor
+            s = f" {w} "
+            known = set(counts[lang])
+            # a word of known letters scores the same without the other languages, but for the shared floor
+            if set(s) <= {g for g in known if len(g) == 1}:
+                shift = m.score_words([w])[0, k] - single.score_words([w])[0, 0]
+                assert abs(shift) < 0.5 * len(s)
+            assert alone[lang].score_words([w])[0, alone[lang].langs.index(lang)] == pytest.approx(m.score_words([w])[0, k])
+
+
+def test_tables_find_what_they_hold():
+    rnd = np.random.default_rng(1)
+    for n in (0, 1, 2, 1000):
+        keys = np.unique(rnd.integers(0, 2**64 - 1, n, dtype=np.uint64))
+        asked = np.concatenate([keys, rnd.integers(0, 2**64 - 1, 500, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        at, found = langid.Table(keys).find(asked)
+        assert found.tolist() == np.isin(asked, keys).tolist() and (keys[at[found]] == asked[found]).all()
+
+
+def test_words_equal_the_full_pattern():
+    rnd = random.Random(2)
+    alphabet = ["a", "Z", "é", "İ", "\u0301", "\u20dd", "漢", "\U00010400", "\U0001d165", " ", "1", "_", "ª", "²", "-", "ﬁ", "ǅ", "ʰ"]
+    for _ in range(3000):
+        some = rnd.sample(alphabet, rnd.randint(1, 6))
+        s = "".join(rnd.choice(some) for _ in range(rnd.randint(0, 12)))
+        assert langid.words(s) == langid._WORD.findall(s.lower())
+
+
 def test_language_held_out(spark):
     from nautigraph.llm.common import held_out
 
