@@ -247,12 +247,12 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repea
     Null texts and sources are treated as in mix(); an empty table gives no rows.  Rows equal in all columns share
     their copies; rows that differ in any are decided upon apart.
     """
-    chosen = mix(docs, weights, repeat, docs.columns).groupBy("doc_id", "key").agg(F.sum("copies").alias("copies_")).where("copies_ > 0")
-    chosen = chosen.select(F.col("doc_id").alias("id_"), F.col("key").alias("key_"), "copies_")
+    # the same two hashes, never null, for grouping and joining: rows are shuffled once
+    chosen = mix(docs, weights, repeat, docs.columns).groupBy(F.col("key").alias("key_"), F.xxhash64("doc_id").alias("id_")).agg(F.sum("copies").alias("copies_")).where("copies_ > 0")
     every = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(F.col("doc_id").cast("long").alias("d_"), F.xxhash64(*every).alias("k_"), F.struct(*every).alias("row_"))
+    rows = docs.select(F.xxhash64(*every).alias("key_"), F.xxhash64(F.col("doc_id").cast("long")).alias("id_"), F.struct(*every).alias("row_"))
     # equal rows become one before they are shuffled
-    rows = rows.groupBy("k_", "d_").agg(F.first("row_").alias("row_"))
-    out = rows.join(chosen, F.col("d_").eqNullSafe(F.col("id_")) & (F.col("k_") == F.col("key_")))
+    rows = rows.groupBy("key_", "id_").agg(F.first("row_").alias("row_"))
+    out = rows.join(chosen, ["key_", "id_"])
     out = out.withColumn("copy_", F.explode(_repeated(F.col("copies_").cast("long")))).select("row_", F.explode("copy_"))
     return out.select("row_.*")
