@@ -642,7 +642,8 @@ def astar_cost(spark, sf_dir):
         g, ids = shared.value
         for b in batches:
             found = [routing.search(g, 0, ids.index(n), S.PENALTY) for n in b["node"]]
-            out = b.assign(cost=[f and round(f[1], 3) for f in found])
+            out = b.assign(cost=[f and f[1] for f in found])
             yield out[out["cost"].notna() & (out["node"] != ids[0])].astype({"cost": float})
 
-    return cells.select("node").mapInPandas(run, "node long, cost double")
+    found = cells.select("node").mapInPandas(run, "node long, cost double")
+    return found.select("node", F.round("cost", 3).alias("cost"))  # rounds halves up, as SQL does
