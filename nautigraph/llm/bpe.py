@@ -146,7 +146,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, leaf: int = LEAF_
 
 
 def digest_documents(docs: DataFrame, path: str, pattern: str, leaf: int = LEAF_CHARS) -> DataFrame:
-    """encode_documents() reduced in the same pass to doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """encode_documents() reduced in the same pass to doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    A null or empty text has no tokens, and both digests are those of the empty string.  An empty table gives no rows.
+    """
 
     def run(rows: Iterator[tuple]) -> Iterator[tuple]:
         bpe = tokenizer(path, pattern, leaf)

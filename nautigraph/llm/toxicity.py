@@ -305,7 +305,11 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, at: float = PREDICT) -> DataFrame:
-    """The rows of docs that score below `at`, all columns kept; equal texts share one fate."""
+    """The rows of docs that score below `at`, all columns kept; equal texts share one fate.
+
+    Null and empty texts have the least score there is.  Null ids and labels teach nothing, and without any label
+    of both kinds the model keeps the slopes that it starts with.  An empty table gives no rows.
+    """
     model = train(docs, labels, limit)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     modest_batches(docs.sparkSession)
