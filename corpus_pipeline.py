@@ -17,27 +17,27 @@ from nautigraph.llm.common import table, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go; the classifier learns from the labels of sf_dir."""
+    """Documents that score as toxic go, a text without words having the least score; the classifier learns from the labels of sf_dir."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays: that of the least doc_id."""
+    """One document of each class of near-duplicates stays: that of the least doc_id.  Null and empty texts are one class."""
     return neardup.deduplicated(docs)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gives way to its kind in square brackets; n_chars follows."""
+    """Personal data gives way to its kind in square brackets; n_chars follows.  Null texts stay null."""
     return pii.mask_documents(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
+    """Each document as many times as the mix takes it; those of a source without any words are not taken."""
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of what they decode to."""
+    """Token counts and digests of the ids and of what they decode to; a null text counts as empty."""
     return bpe.digest_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
