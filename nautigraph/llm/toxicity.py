@@ -8,7 +8,8 @@ stem score like the stem.
 A linear scan over the token scores (less a drift that makes clean text lose) finds every maximal scoring
 segment; those over a threshold are the toxic passages.  The best segment of n clean tokens follows an
 extreme-value law, P(max >= s) = 1 - exp(-K n e^(-l s)), whose K and l are fitted on clean training
-documents; a document's score is a logistic function of that tail probability's logarithm.
+documents.  The sums of the r best follow its tail for every r, weighed by a prior that halves with each r.
+A document's score is a logistic function of the logarithms of both chances.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_rows, modest_batches
+from .common import held_out, map_rows, modest_batches, written
 
 #: Most labelled documents that the classifier is fitted on: those of least xxhash64(doc_id).
 MAX_LABELLED = 20_000
@@ -38,8 +39,8 @@ PREDICT = 0.7
 SPENT = 10.0
 #: Words whose scores a task holds.
 KNOWN = 100_000
-#: Best segments that the calibration looks at.
-MOST = 8
+#: The chance that a group of segments goes on by one more: r of them are weighed by (1 - DECAY) DECAY^(r-1).
+DECAY = 0.5
 #: Least documents of a token or prefix that the model keeps; rarer ones rest on their prior.
 KEEP = 2
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}'’]*")
@@ -128,33 +129,38 @@ class Model:
                     total = highest = 0.0
         return maximal_segments(scores)
 
-    def surprise(self, top: list[float], n: int) -> tuple[float, float]:
+    def surprise(self, found: list[float], n: int) -> tuple[float, float]:
         """-log of the chances that n clean tokens hold a segment like the best, and segments like the best r.
 
-        The first is the extreme-value law; the second is the tail of the sum of the r best normalised scores,
-        e^-t t^(r-1) / (r! (r-1)!), for the r that makes it largest.
+        found has the scores of all segments, the highest first.  The first chance is the extreme-value law; the second
+        is the tail of the sum of the r best normalised scores, e^-t t^(r-1) / (r! (r-1)!), over the weight of r, for
+        the r that makes it largest.  r runs over all segments, but for those that provably can't be that r.
         """
         best = single = total = 0.0
-        for r, s in enumerate(top[:MOST], 1):
-            total += self.rate * s - math.log(self.factor * max(n, 1))
+        for r, s in enumerate(found, 1):
+            x = self.rate * s - math.log(self.factor * max(n, 1))
+            total += x
+            weight = math.log(1 - DECAY) + (r - 1) * math.log(DECAY)
             if r == 1:
                 if total > 30:
                     single = total
                 elif total > -3:
                     single = -math.log(-math.expm1(-math.exp(-total)))
-                best = single
+                best = max(best, single + weight)
             elif total > r:
-                best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - math.log(MOST))
+                best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) + weight)
+            if total <= r and x <= 1:
+                break  # later ones add 1 at most, so no sum exceeds its r any more
         return min(single, 60.0), min(best, 60.0)
 
-    def probability(self, top: list[float], n: int) -> float:
-        single, several = self.surprise(top, n)
+    def probability(self, found: list[float], n: int) -> float:
+        single, several = self.surprise(found, n)
         z = self.intercept + self.slopes[0] * single + self.slopes[1] * several
         return 1 / (1 + math.exp(-max(min(z, 700), -700)))
 
 
-def best_of(passages: list[tuple[int, int, float]]) -> list[float]:
-    return sorted((s for _, _, s in passages), reverse=True)[:MOST]
+def highest_first(passages: list[tuple[int, int, float]]) -> list[float]:
+    return sorted((s for _, _, s in passages), reverse=True)
 
 
 def build(names: list[str], toxic: np.ndarray, clean: np.ndarray, all_toxic: int, all_clean: int) -> Model:
@@ -189,9 +195,9 @@ def build(names: list[str], toxic: np.ndarray, clean: np.ndarray, all_toxic: int
     return Model(kept)
 
 
-def fit_scores(model: Model, rows: list[tuple[int, int, list[float]]]) -> Model:
-    """Fit the extreme-value law on clean (label 0) rows of (label, tokens, best segments), then the logistic on all rows."""
-    clean = [(n, top[0] if top else 0.0) for label, n, top in rows if not label and n]
+def fit_law(model: Model, rows: list[tuple[int, int, float]]) -> Model:
+    """Fit the extreme-value law on clean (label 0) rows of (label, tokens, best segment)."""
+    clean = [(n, s) for label, n, s in rows if not label and n]
     if clean:
         # maximum likelihood, texts without a segment being censored at 0; K follows from the rate in closed form
         n, s = np.array([c[0] for c in clean], float), np.array([c[1] for c in clean], float)
@@ -205,8 +211,13 @@ def fit_scores(model: Model, rows: list[tuple[int, int, list[float]]]) -> Model:
 
         model.rate = float(min(np.geomspace(0.1, 5, 80), key=loss))
         model.factor = float(m / (n * np.exp(-model.rate * s)).sum())
-    x = np.array([(1.0, *model.surprise(top, n)) for _, n, top in rows]).reshape(-1, 3)
-    y = np.array([label for label, _, _ in rows], float)
+    return model
+
+
+def fit_slopes(model: Model, rows: list[tuple[int, float, float]]) -> Model:
+    """Fit the logistic on rows of (label, both values of surprise)."""
+    x = np.array([(1.0, single, several) for _, single, several in rows]).reshape(-1, 3)
+    y = np.array([label for label, *_ in rows], float)
     if 0 < y.sum() < len(y):
         w = np.array([-4.0, 0.5, 0.5])
         ridge = np.array([1e-6, 0.05, 0.05])  # so that separable rows keep finite slopes
@@ -233,10 +244,11 @@ def labelled(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> D
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Model:
-    """Two passes over the labelled sample: document counts by node, then best segments.
+    """Two passes over the labelled sample: document counts by node, then segments.
 
     Calibration is cross-fitted: counts are kept for two halves of the sample, and each half's segments come
-    from the log-odds of the other, so that words seen once or twice don't flatter it.
+    from the log-odds of the other, so that words seen once or twice don't flatter it.  The segments stay in a
+    table; the driver gets three numbers a document, first for the law, then for the logistic.
     """
     sample = labelled(docs, labels, limit).select("toxic", F.pmod(F.xxhash64("text"), F.lit(2)).alias("half"), "text")
 
@@ -271,14 +283,23 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Mode
     del names, got
     shared = sample.sparkSession.sparkContext.broadcast(halves)
 
-    def best(rows: Iterator[tuple]) -> Iterator[tuple]:
+    def segments(rows: Iterator[tuple]) -> Iterator[tuple]:
         caches: list[dict[str, float]] = [{}, {}]
         for toxic, half, text in rows:
             words = tokens(text)
-            yield toxic, len(words), best_of(shared.value[half].passages(words, caches[half]))
+            yield toxic, len(words), highest_first(shared.value[half].passages(words, caches[half]))
+
+    found = written(map_rows(sample, "toxic int, n int, found array<double>", segments), "toxic-segments")
+    best = found.select("toxic", "n", F.coalesce(F.try_element_at("found", F.lit(1)), F.lit(0.0)))
+    law = fit_law(Model({}), [tuple(r) for r in best.collect()])
+
+    def surprises(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for toxic, n, scores in rows:
+            yield toxic, *law.surprise(scores, n)
 
-    rows = [tuple(r) for r in map_rows(sample, "toxic int, n int, top array<double>", best).collect()]
-    return fit_scores(model, rows)
+    rows = [tuple(r) for r in map_rows(found, "toxic int, single double, several double", surprises).collect()]
+    model.rate, model.factor = law.rate, law.factor
+    return fit_slopes(model, rows)
 
 
 PASSAGES = "array<struct<first:int,last:int,score:double>>"
@@ -297,9 +318,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         for doc_id, text in rows:
             words = tokens(text)
             found = m.passages(words, cache)
-            top = best_of(found)
+            scores = highest_first(found)
             toxic = [{"first": a, "last": b - 1, "score": s} for a, b, s in found if s >= PASSAGE]
-            yield doc_id, m.probability(top, len(words)), top[0] if top else 0.0, toxic
+            yield doc_id, m.probability(scores, len(words)), scores[0] if scores else 0.0, toxic
 
     return map_rows(docs.select("doc_id", "text"), f"doc_id long, score double, best double, passages {PASSAGES}", run)
 
@@ -320,7 +341,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, at
 
         def one(text: str | None) -> float:
             words = tokens(text)
-            return shared.value.probability(best_of(shared.value.passages(words, cache)), len(words))
+            return shared.value.probability(highest_first(shared.value.passages(words, cache)), len(words))
 
         return texts.map(one).astype("float64")
 

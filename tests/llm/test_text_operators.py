@@ -1,6 +1,7 @@
 """Encoding, personal data, fingerprints, language and toxicity against brute force or held-out rows."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -356,6 +357,38 @@ def test_token_scores_equal_a_plain_recursion():
     assert some == {0, 1, 2}  # clean, mildly toxic and toxic words
 
 
+def test_every_segment_enters_the_score():
+    """Against the formula for every r; a text of many moderate passages scores above one that holds eight of them."""
+    model = toxicity.Model({}, rate=1.2, factor=0.02)
+    rng = random.Random(5)
+    for n in (5, 200, 5_000):
+        for m in (0, 1, 3, 9, 40, 300):
+            found = sorted((rng.expovariate(0.3) for _ in range(m)), reverse=True)
+            normal = [model.rate * s - math.log(model.factor * n) for s in found]
+            best = single = 0.0
+            for r in range(1, m + 1):
+                t = sum(normal[:r])
+                weight = math.log(0.5) * r
+                if r == 1:
+                    single = t if t > 30 else max(0.0, -math.log(-math.expm1(-math.exp(-t)))) if t > -3 else 0.0
+                    best = max(best, single + weight)
+                elif t > r:
+                    best = max(best, t - (r - 1) * math.log(t) + math.log(math.factorial(r)) + math.log(math.factorial(r - 1)) + weight)
+            assert model.surprise(found, n) == pytest.approx((min(single, 60), min(best, 60)), abs=1e-9)
+    assert model.probability([4.5] * 24, 1_000) > model.probability([4.5] * 12, 1_000) > model.probability([4.5] * 8, 1_000)
+
+
+def test_extreme_value_law_is_recovered():
+    rng = np.random.default_rng(3)
+    n = rng.integers(20, 2_000, 4_000)
+    best = np.maximum((np.log(0.05 * n) + rng.gumbel(size=len(n))) / 1.5, 0.0)  # texts without a segment have 0
+    rows = [(0, int(k), float(s)) for k, s in zip(n, best)] + [(1, 100, 50.0), (0, 0, 0.0)]
+    model = toxicity.fit_law(toxicity.Model({}), rows)
+    assert model.rate == pytest.approx(1.5, rel=0.06) and model.factor == pytest.approx(0.05, rel=0.25)
+    fitted = toxicity.fit_slopes(model, [(1, 9.0, 11.0), (1, 7.0, 8.0), (0, 0.5, 0.7), (0, 1.0, 0.2)] * 20)
+    assert min(fitted.slopes) >= 0 and fitted.probability([40.0, 40.0], 100) > 0.9 > 0.1 > fitted.probability([], 100)
+
+
 def test_toxicity_held_out(spark):
     from nautigraph.llm.common import held_out
 
