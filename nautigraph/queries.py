@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -631,19 +632,20 @@ _RISE = f"(({_STEEP} - 0.2::FLOAT) / (1::FLOAT - 0.2::FLOAT))"
 walk AS (SELECT {_SOURCES} AS node, 0::DOUBLE AS cost, 0 AS step UNION ALL SELECT node, min(cost), step FROM (SELECT a.dst AS node, w.cost + a.w AS cost, w.step + 1 AS step FROM walk w JOIN steep a ON a.src = w.node WHERE w.step < (SELECT 40 + max(y) FROM cells)) GROUP BY node, step)
 SELECT node, round(min(cost), 3) AS cost FROM walk WHERE node <> {_SOURCES} GROUP BY node""")
 def astar_cost(spark, sf_dir):
-    """The search in memory, with its heuristic and penalty 5, for every cell of the grid that it reaches from the first."""
+    """The search in memory, with its heuristic and penalty 5, to every cell of the grid that it reaches from the first."""
     cells, arcs = X.grid(spark, sf_dir)
     placed = cells.select(F.col("node").alias("node_id"), (F.col("x") * 0.008).alias("lon"), (F.col("y") * 0.008).alias("lat"), (1 + F.col("node") % 16).cast("int").alias("depth"))
     g = routing.load(placed, arcs.where("src < dst").select("src", "dst", F.col("w").alias("weight_km")))
-    ids = sorted(r[0] for r in cells.select("node").collect())
+    ids = np.sort(cells.select("node").toPandas()["node"].to_numpy())
     shared = spark.sparkContext.broadcast((g, ids))
 
     def run(batches):
         g, ids = shared.value
-        for b in batches:
-            found = [routing.search(g, 0, ids.index(n), S.PENALTY) for n in b["node"]]
-            out = b.assign(cost=[f and f[1] for f in found])
-            yield out[out["cost"].notna() & (out["node"] != ids[0])].astype({"cost": float})
+        nodes = np.concatenate([np.zeros(0, np.int64), *(b["node"].to_numpy() for b in batches)])  # no more than the graph has
+        cost = routing.costs(g, 0, np.searchsorted(ids, nodes), S.PENALTY)
+        out = pd.DataFrame({"node": nodes, "cost": cost})[np.isfinite(cost) & (nodes != ids[:1])]
+        for at in range(0, len(out), 10_000):
+            yield out.iloc[at : at + 10_000]
 
     found = cells.select("node").mapInPandas(run, "node long, cost double")
     return found.select("node", F.round("cost", 3).alias("cost"))  # rounds halves up, as SQL does

@@ -4,8 +4,15 @@ import heapq
 import random
 from collections import defaultdict
 
+import duckdb
+import numpy as np
+import pytest
+
+from nautigraph import queries as N
+from nautigraph import semantics as S
 from nautigraph.functions.cut import cut
 from nautigraph.operators import paths as P
+from nautigraph.plans import routing
 
 
 def plain(start, arcs):
@@ -37,3 +44,38 @@ def test_shortest_costs_take_rounds_by_blocks(spark, monkeypatch):
         assert len(rounds) <= most
     nothing = spark.createDataFrame([(0, None)], "source int, node long")
     assert [tuple(r) for r in P.shortest_costs(nothing, spark.createDataFrame([], "src long, dst long, w double")).collect()] == [(0, None, 0.0)]
+
+
+def test_costs_to_many_ends_equal_searches(spark, monkeypatch):
+    """One search for all ends gives what a search for each gives, and settles a node once for all of them."""
+    rnd = random.Random(5)
+    nodes = [(k, rnd.uniform(0, 0.5), rnd.uniform(0, 0.5), rnd.randint(1, 16)) for k in range(120)]
+    edges = [(a, b, 111.2 * (np.hypot(nodes[a][1] - nodes[b][1], nodes[a][2] - nodes[b][2]) + 0.01)) for a in range(110) for b in rnd.sample(range(110), 2) if a < b]
+    g = routing.load(spark.createDataFrame(nodes, "node_id long, lon double, lat double, depth int"), spark.createDataFrame([(a, b, float(w)) for a, b, w in edges], "src long, dst long, weight_km double"))
+    ends = np.array([7, 7, *rnd.sample(range(120), 60), 119])
+    wanted = [found[1] if (found := routing.search(g, 7, int(k), S.PENALTY)) else np.inf for k in ends]
+    assert np.isinf(wanted).any() and routing.costs(g, 7, ends, S.PENALTY).tolist() == pytest.approx(wanted, rel=1e-12)
+    assert [routing.costs(g, 7, np.array([k]), S.PENALTY)[0] for k in ends[:9]] == wanted[:9] and not len(routing.costs(g, 7, ends[:0], S.PENALTY))
+    settled = []
+    monkeypatch.setattr(routing, "_settled", lambda *a, f=routing._settled: (settled.append(k) or k for k in f(*a)))
+    routing.costs(g, 7, ends, S.PENALTY)
+    assert len(settled) == len(set(settled)) > 0
+
+
+def test_costs_on_a_long_grid(spark, tmp_path):
+    """astar_cost on 20 times the suppliers of sf0.1, where a search for each cell settled some 150 million nodes; and on none."""
+    duckdb.execute(f"COPY (SELECT i AS s_suppkey FROM range(20000) t(i)) TO '{tmp_path}/supplier.parquet'")
+    cells = {k for k in range(20000) if k % 7 != 3}
+    arcs, f = [], np.float32
+    for k in cells:
+        for dx, dy in ((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b):
+            j = k + 10 * dy + dx
+            if 0 <= k % 10 + dx < 10 and j in cells:
+                ratio = f(max(1 + k % 16, 1 + j % 16)) / f(16)
+                w, t = f(1.4 if dx and dy else 1.0), (ratio - f(0.2)) / (f(1) - f(0.2))
+                arcs.append((k, j, float(w if ratio <= f(0.2) else w * (f(1) + f(4) * t * t))))
+    want = plain(0, arcs)
+    got = {r["node"]: r["cost"] for r in N.queries()["astar_cost"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() - {0} and all(abs(got[k] - want[k]) < 0.001 for k in got)
+    duckdb.execute(f"COPY (SELECT i AS s_suppkey FROM range(0) t(i)) TO '{tmp_path}/supplier.parquet'")
+    assert not N.queries()["astar_cost"](spark, str(tmp_path)).count()
