@@ -33,6 +33,16 @@ def point_tiles(points: DataFrame, size: float, lon: str = "lon", lat: str = "la
     return points.withColumn("tx", tile(F.col(lon), size)).withColumn("ty", tile(F.col(lat), size))
 
 
+#: Rows, or points of their rings, that a side of a join is sent to all tasks with at most, at some tens of bytes each.
+SENT = 1_000_000
+
+
+def sized(side: DataFrame, weight: Column | None = None, most: int = SENT) -> DataFrame:
+    """side of a join, counted: sent to every task up to `most`, shuffled beyond, whatever its compressed bytes seem to be."""
+    n = side.agg(F.coalesce(F.sum(F.lit(1) if weight is None else F.greatest(weight, F.lit(1))), F.lit(0))).first()[0]
+    return F.broadcast(side) if n <= most else side.hint("merge")
+
+
 #: Nodes that are held in memory at most to find the nearest, at 24 bytes each; with more, joins by tiles find them.
 MEMORY_NODES = 2_000_000
 #: Points in a task, and nodes around a point that a first look should meet.

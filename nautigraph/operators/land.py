@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import semantics as S
 from ..functions.geo import raster_col, raster_row
-from ..functions.tiles import box_tiles, point_tiles
+from ..functions.tiles import box_tiles, point_tiles, sized
 
 #: Columns of the raster that share a join key.
 RUN_TILE = 256
@@ -55,6 +55,7 @@ def point_is_land(points: DataFrame, runs: DataFrame, cell: float = S.RASTER_CEL
     """points with on_land, by the raster; a point outside it is water."""
     keyed = points.withColumn("row_", raster_row(F.col("lat"), cell)).withColumn("col_", raster_col(F.col("lon"), cell)).withColumn("part_", F.floor(F.col("col_") / RUN_TILE).cast("int"))
     pieces = runs.select(F.col("row").alias("row_"), "col_start", "col_end", F.explode(F.sequence(F.floor(F.col("col_start") / RUN_TILE).cast("int"), F.floor((F.col("col_end") - 1) / RUN_TILE).cast("int"))).alias("part_"))
+    pieces = sized(pieces)
     # runs of a row are disjoint, so a point meets one at most
     on = [keyed["row_"] == pieces["row_"], keyed["part_"] == pieces["part_"], keyed["col_"] >= pieces["col_start"], keyed["col_"] < pieces["col_end"]]
     return keyed.join(pieces, on, "left").select(*[keyed[c] for c in points.columns], pieces["col_start"].isNotNull().alias("on_land"))
@@ -69,21 +70,30 @@ def _crossings(lon, lat, pts):
     return F.size(F.filter(sides, lambda s: up(s) & (lon < x(s))))
 
 
+def _by_rings(points: DataFrame, rings: DataFrame, key: str | list[str], *more: Column) -> DataFrame:
+    """key, tested, inside and more aggregates of points, a row for each key.
+
+    Points meet the tiles of rings and are then gathered by key, never joined with points again: both sides of such a
+    join would be large, and one of them may seem small enough to pass through the driver.
+    """
+    tiled = box_tiles(rings.select("pts", "min_lon", "min_lat", "max_lon", "max_lat"), TILE)
+    tiled = sized(tiled.select(*[F.col(c).alias(f"r_{c}") for c in tiled.columns]), F.size("r_pts"))
+    near = point_tiles(points, TILE).join(tiled, F.expr("tx = r_tx and ty = r_ty and lon between r_min_lon and r_max_lon and lat between r_min_lat and r_max_lat"), "left")
+    near = near.withColumn("crossed_", F.when(F.col("r_tx").isNotNull(), _crossings(F.col("lon"), F.col("lat"), F.col("r_pts"))))
+    return near.groupBy(key).agg((F.count("crossed_") > 0).alias("tested"), F.coalesce(F.sum("crossed_") % 2 == 1, F.lit(False)).alias("inside"), *more)
+
+
 def point_in_rings(points: DataFrame, rings: DataFrame, key: str) -> DataFrame:
     """key, tested, inside: whether any ring's box holds the point, and whether an odd number of rings of those does."""
-    tiled = box_tiles(rings.select("ring_id", "pts", "min_lon", "min_lat", "max_lon", "max_lat"), TILE)
-    p = point_tiles(points.select(key, "lon", "lat"), TILE)
-    near = p.join(tiled, ["tx", "ty"]).where("lon between min_lon and max_lon and lat between min_lat and max_lat")
-    near = near.withColumn("n", _crossings(F.col("lon"), F.col("lat"), F.col("pts")))
-    found = near.groupBy(key).agg(F.lit(True).alias("tested"), (F.sum("n") % 2 == 1).alias("inside"))
-    return points.select(key).join(found, key, "left").select(key, F.coalesce("tested", F.lit(False)).alias("tested"), F.coalesce("inside", F.lit(False)).alias("inside"))
-
-
-def point_is_land_precise(points: DataFrame, rings: DataFrame, runs: DataFrame, key: str, cell: float = S.RASTER_CELL) -> DataFrame:
-    """key, on_land: exact where an island ring's box holds the point, by the raster elsewhere."""
-    exact = point_in_rings(points, rings.where("is_island"), key)
-    coarse = point_is_land(points.select(key, "lon", "lat"), runs, cell).select(key, "on_land")
-    return exact.join(coarse, key).select(key, F.when(F.col("tested"), F.col("inside")).otherwise(F.col("on_land")).alias("on_land"))
+    return _by_rings(points.select(key, "lon", "lat"), rings, key)
+
+
+def point_is_land_precise(points: DataFrame, rings: DataFrame, runs: DataFrame, key: str | list[str], cell: float = S.RASTER_CELL) -> DataFrame:
+    """key, on_land: exact where an island ring's box holds the point, by the raster elsewhere; a key may have several columns."""
+    keys = [key] if isinstance(key, str) else key
+    coarse = point_is_land(points.select(*keys, "lon", "lat").dropna(subset=keys), runs, cell)
+    found = _by_rings(coarse, rings.where("is_island"), keys, F.max("on_land").alias("on_land"))
+    return found.select(*keys, F.when(F.col("tested"), F.col("inside")).otherwise(F.col("on_land")).alias("on_land"))
 
 
 def box_overlaps(boxes: DataFrame, rings: DataFrame, key: str, widest: float | None = None) -> DataFrame:

@@ -405,10 +405,7 @@ def unwrap_track(spark, sf_dir):
 @query(f"""WITH {X.SQL_PORTS}, {X.sql_rings()}, {X.sql_runs()}, l AS (SELECT port_id, lon + 0.3::DOUBLE AS x1, lat + 0.2::DOUBLE AS y1, lon AS x2, lat AS y2, {X.sql_haversine('lon + 0.3::DOUBLE', 'lat + 0.2::DOUBLE', 'lon', 'lat')} AS km FROM ports), {_sql_clear('l', 'port_id', 1.0, -1.0, 0.6, 'cl')} SELECT port_id, clear FROM cl""")
 def stitch_connector(spark, sf_dir):
     links = X.ports(spark, sf_dir).select("port_id", (F.col("lon") + 0.3).alias("lon1"), (F.col("lat") + 0.2).alias("lat1"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
-    spots = G.connector_samples(links, "port_id").withColumn("pid", F.monotonically_increasing_id()).transform(cut)
-    wet = L.point_is_land_precise(spots, X.rings(spark, sf_dir), _runs(spark, sf_dir), "pid", X.CELL)
-    blocked = spots.join(wet.where("on_land"), "pid").select("port_id").distinct().withColumn("blocked", F.lit(True))
-    return links.select("port_id").join(blocked, "port_id", "left").select("port_id", F.col("blocked").isNull().alias("clear"))
+    return G.connectors(links, X.rings(spark, sf_dir), _runs(spark, sf_dir).transform(cut), "port_id", X.CELL)
 
 
 @query(f"""WITH p AS (SELECT conv_id, turn, {X.sql_lon('conv_id * 31 + turn')} AS lon, {X.sql_lat('conv_id * 31 + turn')} AS lat FROM conversations),

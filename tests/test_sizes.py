@@ -7,10 +7,15 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from nautigraph import fixtures as X
 from nautigraph import queries as N
 from nautigraph import semantics as S
 from nautigraph.functions.cut import cut
+from nautigraph.functions.tiles import sized
+from nautigraph.operators import graph as G
+from nautigraph.operators import land as L
 from nautigraph.operators import paths as P
 from nautigraph.plans import routing
 
@@ -79,3 +84,18 @@ def test_costs_on_a_long_grid(spark, tmp_path):
     assert got.keys() == want.keys() - {0} and all(abs(got[k] - want[k]) < 0.001 for k in got)
     duckdb.execute(f"COPY (SELECT i AS s_suppkey FROM range(0) t(i)) TO '{tmp_path}/supplier.parquet'")
     assert not N.queries()["astar_cost"](spark, str(tmp_path)).count()
+
+
+def test_connectors_join_samples_with_land_only(spark, sf, monkeypatch):
+    """Samples meet rings and runs and no samples: such a side passed through the driver; rings and runs that are too many don't either."""
+    k = F.col("id") * 137
+    links = spark.range(3000).select(k.alias("port_id"), (X.lon(k) + 0.3).alias("lon1"), (X.lat(k) + 0.2).alias("lat1"), X.lon(k).alias("lon2"), X.lat(k).alias("lat2"))
+    runs = N._runs(spark, sf).transform(cut)
+    sent = G.connectors(links, X.rings(spark, sf), runs, "port_id", X.CELL)
+    assert sent._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    monkeypatch.setattr(L, "sized", lambda side, weight=None: sized(side, weight, 0))
+    dealt = G.connectors(links, X.rings(spark, sf), runs, "port_id", X.CELL)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2 and "BroadcastHashJoin" not in plan
+    rows = sorted(map(tuple, sent.collect()))
+    assert rows == sorted(map(tuple, dealt.collect())) and len(rows) == 3000 and {clear for _, clear in rows} == {True, False}
