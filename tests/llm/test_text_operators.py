@@ -238,6 +238,26 @@ def test_a_cut_off_keeps_the_most_frequent_grams(spark):
     assert np.isfinite(scores).all() and (scores < 0).all()
 
 
+def test_the_model_holds_every_gram(spark, monkeypatch):
+    """Without a bound of the caller's nothing is left out, whatever the size, and the pieces in which n-grams come are of no account."""
+    rnd = random.Random(6)
+    rows = [(i, words(rnd, 20, 60), rnd.choice(("en", "fr"))) for i in range(50)] + [(100, "a é a", "short"), (101, "漢 𐐀𐐀 漢字", "other"), (102, "1 2", "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = {}
+    for r in langid.ngram_counts(df).collect():
+        counts.setdefault(r["lang"], {})[r["gram"]] = r["n"]
+    wanted = langid.build(counts)
+    monkeypatch.setattr(langid, "_kept", None)
+    found = [langid.train(df, calibration=0)]
+    hashed = langid._hashed(langid.ngram_counts(df))
+    found.append(langid._model(*langid._gathered(hashed, langid.ORDER, 37)))
+    for m in found:
+        assert m.langs == wanted.langs == ["en", "fr", "other", "short"] and m.floor == wanted.floor
+        assert sum(len(k.keys) - 1 for k in m.keys) == len({g for own in counts.values() for g in own})
+        assert all((a.keys == b.keys).all() for a, b in zip(m.keys + m.context_keys, wanted.keys + wanted.context_keys))
+        assert all((a == b).all() for a, b in zip(m.prob + m.weight, wanted.prob + wanted.weight))
+
+
 def test_scores_equal_a_search_in_plain_tables():
     """The interpolated tables against back-off from order to order, for languages with different n-grams."""
     rnd = random.Random(8)
